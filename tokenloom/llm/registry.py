@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .q_decontaminate import OP5_SQL, op5_decontaminate
+from .q_mixing import op2_mixing
+from .q_secrets import op10_secrets
 
-QUERIES = {"op5_decontaminate": op5_decontaminate}
+QUERIES = {"op2_mixing": op2_mixing, "op5_decontaminate": op5_decontaminate, "op10_secrets": op10_secrets}
 SQL = {"op5_decontaminate": OP5_SQL}
