@@ -8,8 +8,9 @@ three units are fractional, some direction leaves both expected totals unchanged
 and following it until a unit reaches 0 or 1 decides that unit. The flight runs
 in parallel over blocks of about `block` units of one source; each block leaves
 two units at most, which fly again in merged blocks, until every source has one
-block. The two units it may leave are the landing problem: of their at most four
-outcomes the one nearest to the expected words (then documents) is taken.
+block. A dozen units of mixed sizes per source stay out of the flight; with the
+two that it may leave they are the landing problem: of all their outcomes the one
+nearest to the expected words and documents is taken.
 
 Rows equal in id, source and size form one unit whose copies apply to each. All
 choices follow from hashes of the rows and the seed, so reruns agree however the
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import free_name, materialise
 
 _EPS = 1e-9
+#: Units kept back for the landing, and words that a document too many or too few counts as there.
+_LANDING, _DOCUMENT = 12, 5.0
 _UNIT = "id_ string, source_ string, size_ long, rows_ long, block_ long, p_ double, whole_ long, copies_ long"
 
 
@@ -80,27 +83,38 @@ def flight(p: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def landing(p: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """0 or 1 for every unit: of the outcomes of the fractional ones, that nearest to the expected words, then documents."""
+    """0 or 1 for every unit: all outcomes of the fractional ones are tried, and the one nearest to the expected words and documents is taken."""
     p = p.copy()
-    free = [i for i in range(len(p)) if 0 < p[i] < 1]
-    best = min(range(1 << len(free)), key=lambda k: (*(abs(sum(((k >> j & 1) - p[i]) * float(weights[i][c]) for j, i in enumerate(free))) for c in (1, 0)), k))
-    for j, i in enumerate(free):
-        p[i] = best >> j & 1
+    free = np.flatnonzero((p > 0) & (p < 1))
+    outcomes = (np.arange(1 << len(free))[:, None] >> np.arange(len(free))) & 1
+    off = np.abs((outcomes - p[free]) @ weights[free])
+    p[free] = outcomes[np.lexsort((np.arange(len(off)), off[:, 1] + off[:, 0] * _DOCUMENT))[0]]
     return p
 
 
+def kept_back(weights: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Units that stay out of the flight, for the landing: spread over all sizes."""
+    by_size = open_[np.argsort(weights[open_, 1], kind="stable")]
+    if len(by_size) <= _LANDING:
+        return by_size
+    return by_size[np.unique(np.linspace(0, len(by_size) - 1, _LANDING).astype(int))]
+
+
 def _fly(last: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id_", "size_", "rows_"], na_position="last", kind="stable", key=lambda s: s if s.name != "id_" else s.map(lambda x: "~" if x is None else "=" + x))
         weights = np.stack([pdf.rows_.to_numpy(float), (pdf.rows_ * pdf.size_).to_numpy(float)], 1)
         rng = np.random.default_rng([seed, int(pdf.block_.iloc[0]), len(pdf), int(pdf.size_.sum()) & 0x7FFFFFFF])
-        order = np.lexsort((rng.permutation(len(pdf)), -weights[:, 1]))  # the smallest units are the ones left to land
-        p = np.empty(len(pdf))
-        p[order] = flight(pdf.p_.to_numpy()[order], weights[order], rng)
+        order = rng.permutation(len(pdf))
+        p = pdf.p_.to_numpy().copy()
+        if last or pdf.block_.iloc[0] == 0:
+            order = order[~np.isin(order, kept_back(weights, np.arange(len(pdf))))]
+        p[order] = flight(p[order], weights[order], rng)
         if last:
             p = landing(p, weights)
         decided = (p == 0) | (p == 1)
-        return pdf.assign(p_=p, copies_=pd.array(np.where(decided, pdf.whole_ + p, 0).astype("int64"), dtype="Int64").where(decided) if not decided.all() else (pdf.whole_ + p).astype("int64"))
+        copies = np.where(decided, pdf.whole_.to_numpy() + p, 0).astype("int64")
+        return pdf.assign(p_=p, copies_=pd.arrays.IntegerArray(copies, ~decided))
 
     return run
 
