@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .q_decontaminate import OP5_SQL, op5_decontaminate
 from .q_langid import op6_langid
+from .q_lm import op4_lm
 from .q_mixing import op2_mixing
 from .q_secrets import op10_secrets
 from .q_simhash import op8_simhash
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_lm": op4_lm,
     "op5_decontaminate": op5_decontaminate,
     "op6_langid": op6_langid,
     "op8_simhash": op8_simhash,

@@ -332,3 +332,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     reps = grouped.select("id", "group").join(heads, "group").select("id", "component")
     out = signed.select("doc", "id").join(reps, "id", "left").select("doc", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
     return out.select(F.col("doc").cast(kind).alias(doc_id), F.col("component").cast(kind).alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Rows of docs without near-duplicates: of each group the document with the smallest id.
+
+    Only ids travel for that: the ids to drop are joined against docs. An id that
+    repeats is dropped if none of its rows heads a group; otherwise its rows
+    with different texts stay, one row for each text. Rows with a null id stay.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options).where(F.col(doc_id).isNotNull())
+    ids = materialise(found.groupBy(doc_id).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "simhash-ids")
+    drop = ids.where("not kept").select(F.col(doc_id).alias("drop_"))
+    again = ids.where("kept and n > 1").select(F.col(doc_id).alias("again_"))
+    rest = docs.join(drop, docs[doc_id] == drop["drop_"], "left_anti")
+    if not again.head(1):
+        return rest
+    single = rest.join(again, rest[doc_id] == again["again_"], "left_semi").dropDuplicates([doc_id, text])
+    return rest.join(again, rest[doc_id] == again["again_"], "left_anti").unionByName(single)
