@@ -1,12 +1,70 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline over the documents table.
+
+Five stages, each over all that its predecessor kept: drop documents without a
+recognisable language, keep one document of each near-duplicate group, drop
+documents that hold benchmark passages, blank out secrets, and mix the sources
+to their target weights. Every stage but the last returns the columns of
+documents; the last adds `copies`, how often the mix repeats a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.llm.common import fold, materialise, table
+from tokenloom.llm.decontaminate import decontaminate
+from tokenloom.llm.langid import UND, identify
+from tokenloom.llm.mixing import mix
+from tokenloom.llm.secrets import redact
+from tokenloom.llm.simhash import keep_one
+
+#: Below this score no language stands out: with four languages, chance alone gives 0.25.
+MIN_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; those without a letter, or of no clear language, go."""
+    found, name = identify(docs, F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False)))
+    return found.where((F.col(f"{name}.lang") != UND) & (F.col(f"{name}.score") >= MIN_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the smallest id."""
+    return keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark table occurs."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their text replaced; n_chars follows the text."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, and how often."""
+    return mix(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark),
+    ("secret_scans", secret_scan),
+    ("mixing", mixing),
+]
 
-STAGES: list = []
+#: The stages learn models and compare sketches, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage, each stage written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
