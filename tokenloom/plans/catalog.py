@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import q_documents, q_scalar, q_search
+
+QUERIES: dict = q_documents.QUERIES | q_scalar.QUERIES | q_search.QUERIES
+SQL: dict[str, str] = q_documents.SQL | q_scalar.SQL | q_search.SQL
