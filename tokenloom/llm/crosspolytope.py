@@ -3,7 +3,9 @@
 A table rotates a vector pseudo-randomly, three rounds of random signs and a fast
 Hadamard transform, once per hash function, and each function names the closest
 vertex of the cross-polytope (the largest coordinate and its sign). The number of
-functions per table grows with the logarithm of the number of vectors. A vector is
+functions per table grows with the logarithm of the number of vectors, the last
+one using a polytope of fewer dimensions, so that a bucket has some dozens of
+unrelated vectors at any number of them. A vector is
 filed in its own bucket of each table and looked up there and in the `probes`
 buckets that are next in likelihood (multiprobe). The number of tables follows
 from the wanted recall and from the chance, simulated for pairs exactly at the
@@ -33,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .components import components
@@ -54,8 +57,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Forest:
     """Codes of vectors of one dimension in all tables."""
 
-    def __init__(self, dim: int, functions: int, tables: int, probes: int):
-        self.dim, self.k, self.tables, self.probes = dim, functions, tables, probes
+    def __init__(self, dim: int, polytopes: tuple[int, ...], tables: int, probes: int):
+        """polytopes: dimensions, powers of two up to that of the padded vectors, of each function."""
+        self.dim, self.polytopes, self.tables, self.probes = dim, polytopes, tables, probes
         self.padded = 1 << max(1, (dim - 1).bit_length())
         rng = np.random.default_rng([11, dim])
         self.signs = rng.choice(np.array([-1.0, 1.0], np.float32), (64, 8, 3, self.padded))  # of any table and function
@@ -67,25 +71,26 @@ class Forest:
         x0[:, : self.dim] = vectors
         rows = np.arange(n)[:, None]
         vertex, loss = [], []
-        for f in range(self.k):
+        for f, d in enumerate(self.polytopes):
             x = x0
             for r in range(3):
                 x = hadamard(x * self.signs[table % 64, f % 8, r] * np.float32(1 / math.sqrt(self.padded)))
+            x = x[:, :d]
             size = np.abs(x)
-            many = min(1 + _ALTERNATIVES, self.padded)
-            top = np.argpartition(-size, many - 1, axis=1)[:, :many] if many < self.padded else np.tile(np.arange(many), (n, 1))
+            many = min(1 + _ALTERNATIVES, d)
+            top = np.argpartition(-size, many - 1, axis=1)[:, :many] if many < d else np.tile(np.arange(many), (n, 1))
             top = np.take_along_axis(top, np.argsort(-size[rows, top], axis=1, kind="stable"), 1)
             vertex.append(2 * top + (x[rows, top] < 0))
             loss.append((size[rows, top[:, :1]] - size[rows, top]) ** 2)
-        base = 2 * self.padded
-        own = sum(v[:, 0].astype(np.int64) * base**f for f, v in enumerate(vertex))
-        moved = np.concatenate([own[:, None] + (v[:, 1:] - v[:, :1]).astype(np.int64) * base**f for f, v in enumerate(vertex)], 1)
+        place = [math.prod(2 * d for d in self.polytopes[:f]) for f in range(len(self.polytopes))]
+        own = sum(v[:, 0].astype(np.int64) * b for b, v in zip(place, vertex))
+        moved = np.concatenate([own[:, None] + (v[:, 1:] - v[:, :1]).astype(np.int64) * b for b, v in zip(place, vertex)], 1)
         cost = np.concatenate([x[:, 1:] for x in loss], 1)
         order = np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
         return np.concatenate([own[:, None], moved[rows, order]], 1)
 
 
-def meeting_chance(dim: int, functions: int, probes: int, cosine: float, pairs: int = 4000) -> float:
+def meeting_chance(dim: int, polytopes: tuple[int, ...], probes: int, cosine: float, pairs: int = 4000) -> float:
     """Simulated chance that two vectors at this cosine meet in a table, one in a bucket that the other has or probes."""
     rng = np.random.default_rng(5)
     a = rng.standard_normal((pairs, dim))
@@ -94,7 +99,7 @@ def meeting_chance(dim: int, functions: int, probes: int, cosine: float, pairs:
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     b = cosine * a + math.sqrt(max(0.0, 1 - cosine**2)) * b
-    f = Forest(dim, functions, 2, probes)
+    f = Forest(dim, polytopes, 2, probes)
     met = []
     for t in range(2):
         x, y = f.codes(a.astype(np.float32), t), f.codes(b.astype(np.float32), t)
@@ -102,46 +107,49 @@ def meeting_chance(dim: int, functions: int, probes: int, cosine: float, pairs:
     return float(np.mean(met))
 
 
-def layout(n: int, dim: int, cosine: float, recall: float, probes: int) -> tuple[int, int]:
-    """Functions per table and number of tables."""
-    base = 2 << max(1, (dim - 1).bit_length())
-    functions = min(8, max(1, round(math.log(max(n, 2) / 32) / math.log(base)))) if dim > 1 else 1
-    functions = min(functions, int(40 / math.log2(base)))
-    p = min(max(meeting_chance(dim, functions, probes, cosine), 1e-3), 1 - 1e-9)
-    return functions, min(64, max(2, math.ceil(math.log(1 - recall) / math.log(1 - p))))
-
-
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, vector) -> doc, id, dim, vec: class number, dimension and little-endian doubles; nulls for what links with nothing."""
-    for batch in batches:
-        ids, dims, data = [], [], []
-        for doc, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-            v = v.values
-            x = np.empty(0) if v is None or v.null_count or doc is None else v.to_numpy(zero_copy_only=False).astype("<f8")
-            with np.errstate(over="ignore", invalid="ignore"):
-                norm = float(x @ x) if len(x) else 0.0
-                if not np.isfinite(norm) and np.isfinite(x).all() or norm < 1e-290 and x.any():
+def layout(n: int, dim: int, cosine: float, recall: float, probes: int, bucket: int = 64) -> tuple[tuple[int, ...], int]:
+    """Dimensions of the functions' polytopes, and the number of tables."""
+    whole = max(1, (dim - 1).bit_length())  # a whole polytope tells 2**(whole + 1) vertices apart
+    bits = min(40, max(2, round(math.log2(max(1.0, n * (1 + probes) / bucket)))))
+    full, rest = divmod(bits, whole + 1)
+    polytopes = (1 << whole,) * full + ((1 << (rest - 1),) if rest >= 2 or not full else ())
+    p = min(max(meeting_chance(dim, polytopes, probes, cosine), 1e-3), 1 - 1e-9)
+    return polytopes, min(64, max(2, math.ceil(math.log(1 - recall) / math.log(1 - p))))
+
+
+def _classer(number: str):
+    """(doc, vector) -> doc, id, dim, vec: class number, dimension and packed components; nulls for what links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, dims, data = [], [], []
+            for doc, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                v = v.values
+                x = np.empty(0, number) if v is None or v.null_count or doc is None else v.to_numpy(zero_copy_only=False).astype(number)
+                ok = bool(np.isfinite(x).all() and x.any())
+                if ok and number == "<f8" and not 1e-140 < np.abs(x).max() < 1e140:
                     x = x / np.abs(x).max()  # the scale does not matter, only over- and underflow does
-                    norm = float(x @ x)
-            ok = np.isfinite(norm) and norm > 0
-            raw = x.tobytes() if ok else None
-            ids.append(int(np.int64(np.uint64(xxhash.xxh64_intdigest(raw)))) if ok else None)
-            dims.append(len(x) if ok else None)
-            data.append(raw)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["doc", "id", "dim", "vec"])
+                raw = x.tobytes() if ok else None
+                ids.append(int(np.int64(np.uint64(xxhash.xxh64_intdigest(raw)))) if ok else None)
+                dims.append(len(x) if ok else None)
+                data.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["doc", "id", "dim", "vec"])
+
+    return run
 
 
-def _member(dim: int) -> np.dtype:
-    return np.dtype([("id", "<i8"), ("n", "<i8"), ("home", "?"), ("block", "<i4"), ("vec", "<f8", (dim,))])
+def _member(dim: int, number: str) -> np.dtype:
+    return np.dtype([("id", "<i8"), ("n", "<i8"), ("home", "?"), ("block", "<i4"), ("vec", number, (dim,))])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _filer(forest: Forest, hot: dict[tuple[int, int], int]):
+def _filer(forest: Forest, number: str, hot: dict[tuple[int, int], int]):
     """Rows (bucket_table, bucket, pair, data) of classes (id, n, vec): members by table and bucket, packed by batch."""
-    kind = _member(forest.dim)
+    kind = _member(forest.dim, number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +157,7 @@ def _filer(forest: Forest, hot: dict[tuple[int, int], int]):
                 continue
             own = np.zeros(batch.num_rows, kind)
             own["id"], own["n"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own["vec"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(-1, forest.dim)
+            own["vec"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), number).reshape(-1, forest.dim)
             unit = _unit(own["vec"])
             for table in range(forest.tables):
                 out: list[list] = [[], [], [], []]
@@ -181,7 +189,8 @@ def bucket_links(rows: np.ndarray, forest: Forest, table: int, bucket: int, cosi
     none = np.empty(0, np.int64)
     rows = rows[np.argsort(rows["id"], kind="stable")]
     across = (rows["block"] != rows["block"][0]).any()
-    vec, norm = rows["vec"], np.linalg.norm(rows["vec"], axis=1)
+    vec = rows["vec"].astype(np.float64)
+    norm = np.linalg.norm(vec, axis=1)
     home, block = rows["home"], rows["block"]
     step = max(1, (1 << 20) // len(rows))
     firsts, seconds = [], []
@@ -230,9 +239,9 @@ def bucket_links(rows: np.ndarray, forest: Forest, table: int, bucket: int, cosi
     return rows["id"][at], n[at].astype(np.int64), rows["id"][least[at]]
 
 
-def _linker(forest: Forest, cosine: float):
+def _linker(forest: Forest, number: str, cosine: float):
     """Over rows sorted by table, bucket and pair: rows (id, n, other)."""
-    kind = _member(forest.dim)
+    kind = _member(forest.dim, number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, out = None, [], []
@@ -262,14 +271,14 @@ def _linker(forest: Forest, cosine: float):
     return run
 
 
-def _hot(classes: DataFrame, forest: Forest, limit: int) -> dict[tuple[int, int], int]:
+def _hot(classes: DataFrame, forest: Forest, number: str, limit: int) -> dict[tuple[int, int], int]:
     """Buckets of more than limit members and their number of blocks; at most tables * (1 + probes) * n / limit of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<f8").reshape(-1, forest.dim))
+            unit = _unit(np.frombuffer(b"".join(batch.column(0).to_pylist()), number).reshape(-1, forest.dim))
             for t in range(forest.tables):
                 names, n = np.unique(forest.codes(unit, t), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), t, np.int32)), pa.array(names), pa.array(n)], ["place", "bucket", "n"])
@@ -282,18 +291,22 @@ def link_vectors(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "emb
     """One row per row of table: its id, n_links, component_id, kept."""
     kind = table.schema[vec_id].dataType
     own = table.select(F.col(vec_id).cast("long").alias("doc"), F.col(vector).alias("vector"))
-    signed = materialise(own.mapInArrow(_classes, "doc long, id long, dim int, vec binary"), "vectors")
+    single = isinstance(table.schema[vector].dataType.elementType, T.FloatType)
+    number = "<f4" if single else "<f8"  # as packed; cosines are taken in double precision from either
+    if not single:
+        own = own.withColumn("vector", F.col("vector").cast("array<double>"))
+    signed = materialise(own.mapInArrow(_classer(number), "doc long, id long, dim int, vec binary"), "vectors")
     classes = signed.where("id is not null").groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     classes = materialise(classes, "vector-classes")
     found = None
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():  # one pass per length of vectors
-        functions, tables = layout(r.n, r.dim, cosine, recall, probes)
-        forest = Forest(r.dim, functions, tables, probes)
+        polytopes, tables = layout(r.n, r.dim, cosine, recall, probes)
+        forest = Forest(r.dim, polytopes, tables, probes)
         some = classes.where(F.col("dim") == r.dim)
         limit = max(block, math.ceil(r.n * tables * (1 + probes) / 200_000))
-        filed = some.select("id", "n", "vec").mapInArrow(_filer(forest, _hot(some, forest, limit)), "place int, bucket long, pair long, data binary")
+        filed = some.select("id", "n", "vec").mapInArrow(_filer(forest, number, _hot(some, forest, number, limit)), "place int, bucket long, pair long, data binary")
         filed = filed.repartition(F.xxhash64("place", "bucket", "pair")).sortWithinPartitions("place", "bucket", "pair")
-        links = filed.mapInArrow(_linker(forest, cosine), "id long, n long, other long")
+        links = filed.mapInArrow(_linker(forest, number, cosine), "id long, n long, other long")
         found = links if found is None else found.union(links)
     empty = table.sparkSession.createDataFrame([], "id long, n long, other long")
     found = materialise(found if found is not None else empty, "vector-links")
