@@ -1,7 +1,9 @@
 """Document filters as a small algebra that compiles to one Column.
 
 A filter is two-valued: what is missing or null makes a leaf false, and its
-negation true. Catalyst pushes the compiled expression into the scan.
+negation true. column() may be null for false, as a WHERE takes it, so that
+Catalyst can push plain comparisons into the scan; a negation makes its part
+two-valued first, which is enough because "and" and "or" are monotone.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ class Filter:
     def column(self) -> Column:
         raise NotImplementedError
 
+    def truth(self) -> Column:
+        return F.coalesce(self.column(), F.lit(False))
+
     def __and__(self, other: Filter) -> Filter:
         return And((self, other))
 
@@ -42,7 +47,7 @@ class UuidIn(Filter):
     uuids: tuple[str, ...]
 
     def column(self) -> Column:
-        return F.coalesce(F.col("uuid").isin(list(self.uuids)), F.lit(False)) if self.uuids else F.lit(False)
+        return F.col("uuid").isin(list(self.uuids)) if self.uuids else F.lit(False)
 
 
 @dataclass(frozen=True)
@@ -55,7 +60,7 @@ class DateRange(Filter):
     def column(self) -> Column:
         parts = [F.col("date") >= F.lit(self.start)] if self.start is not None else []
         parts += [F.col("date") <= F.lit(self.end)] if self.end is not None else []
-        return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False)) if parts else F.lit(True)
+        return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 @dataclass(frozen=True)
@@ -64,7 +69,7 @@ class MetadataEquals(Filter):
     value: str
 
     def column(self) -> Column:
-        return F.coalesce(F.col("metadata")[self.key] == self.value, F.lit(False))
+        return F.col("metadata")[self.key] == self.value
 
 
 @dataclass(frozen=True)
@@ -88,7 +93,7 @@ class Not(Filter):
     part: Filter
 
     def column(self) -> Column:
-        return ~self.part.column()
+        return ~self.part.truth()
 
 
 def apply(docs: DataFrame, filter: Filter) -> DataFrame:

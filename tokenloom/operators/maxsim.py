@@ -66,7 +66,7 @@ def pruned(query: DataFrame, centroids: DataFrame, postings: DataFrame, *, k: in
     """
     q = distinct_tokens(query)
     n = query.count()
-    selected = select_centroids(q, centroids, k=k, token_budget=token_budget).persist()
+    selected = select_centroids(q, centroids, k=k, token_budget=token_budget)
     buckets = selected.select("gen", "bucket").distinct()
     found = _paired(q, postings.join(buckets, ["gen", "bucket"], "left_semi"))
     best = found.groupBy("doc", "q").agg(F.max(dot("qvec", "vec")).alias("best"))

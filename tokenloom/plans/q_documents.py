@@ -79,7 +79,7 @@ def filter_metadata_numeric(spark, sf_dir):
     """A number is never equal to its text, and the negation is true where the key is no text."""
     e = table(spark, sf_dir, "events").withColumn("metadata", string_metadata("props"))
     leaf = MetadataEquals("k", "5")
-    return e.select("event_id", leaf.column().alias("equals"), (~leaf).column().alias("differs"))
+    return e.select("event_id", leaf.truth().alias("equals"), (~leaf).truth().alias("differs"))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT coalesce(CASE WHEN doc_id % 3 = 0 THEN source END = 'src0', false)")
