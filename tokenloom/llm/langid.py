@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import chunks, free_name
+from .common import chunks, free_name, materialise
 
 UND = "und"
 _SHARPNESS = 4.0
@@ -163,6 +163,7 @@ def train(docs: DataFrame, learn: Column, *, doc_id: str, text: str, label: str,
     rows = docs.where(usable).select(F.col(doc_id).cast("string").alias("id_"), F.col(label).alias("label_"), (F.char_length(text) > long_text).alias("long_"), key.alias("key_"))
     order = W.partitionBy("label_").orderBy("long_", "key_", "id_")
     chosen = rows.withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= per_label).select("id_", "label_", "at_")
+    chosen = materialise(chosen, "langid-sample")  # per_label ids a label: small enough for a broadcast unless labels are many
     texts = docs.where(usable).select(F.col(doc_id).cast("string").alias("id_"), F.col(label).alias("label_"), F.col(text).alias("text_"))
     sample = texts.join(chosen, ["id_", "label_"]).orderBy("at_", "label_", "text_")
     return Model([(r.text_, r.label_) for r in sample.toLocalIterator()], landmarks=landmarks, alphabet=alphabet, ridge=ridge)
