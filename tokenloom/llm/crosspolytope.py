@@ -92,6 +92,8 @@ class Forest:
 
 def meeting_chance(dim: int, polytopes: tuple[int, ...], probes: int, cosine: float, pairs: int = 4000) -> float:
     """Simulated chance that two vectors at this cosine meet in a table, one in a bucket that the other has or probes."""
+    if dim == 1:
+        return 1.0  # only the sign counts
     rng = np.random.default_rng(5)
     a = rng.standard_normal((pairs, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
