@@ -29,14 +29,12 @@ def bm25(docs: DataFrame, query: str, *, title_weight: float = 3.0, match: str =
     wanted = Counter(query_terms(query))
     if not wanted:
         return docs.select("uuid", F.lit(0.0).alias("score")).where(F.lit(False))
-    of_title, of_body = terms(F.coalesce("title", F.lit(""))), terms(F.coalesce("body", F.lit("")))
-    cut = docs.select("uuid", of_title.alias("t"), of_body.alias("b"))
-    tf = lambda words, term: F.size(F.filter(words, lambda x: x == term))
+    cut = docs.select("uuid", *[terms(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "body")])
+    tf = lambda c, term: F.size(F.filter(c, lambda x: x == term))
     names = list(wanted)
-    counted = cut.select(
-        "uuid", (F.size("t") + F.size("b")).alias("len"),
-        *[(title_weight * tf("t", t) + tf("b", t)).alias(f"f{i}") for i, t in enumerate(names)],
-    )
+    counts = F.struct((F.size("title") + F.size("body")).alias("len"), *[(title_weight * tf("title", t) + tf("body", t)).alias(f"f{i}") for i, t in enumerate(names)])
+    # A generator of one row: the filter below would otherwise be pushed down and cut the texts again for each term.
+    counted = cut.select("uuid", F.inline(F.array(counts)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(names))])
     score = F.lit(0.0)
     for i, t in enumerate(names):

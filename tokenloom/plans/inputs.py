@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, terms
@@ -12,11 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def title_of(text: Column) -> Column:
+    """The first three terms; reads no further than those."""
+    term, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+    start = F.regexp_extract(F.lower(text), rf"^(?:{gap})?({term}(?:{gap}{term}){{0,2}})", 1)
+    return F.regexp_replace(start, gap, " ")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uuid, body, title (the first three terms), hash, metadata (lang, source)."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").cast("string").alias("uuid"), F.col("text").alias("body"), F.array_join(F.slice(terms("text"), 1, 3), " ").alias("title"),
+        F.col("doc_id").cast("string").alias("uuid"), F.col("text").alias("body"), title_of(F.col("text")).alias("title"),
         content_hash("text").alias("hash"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"),
     )
 
