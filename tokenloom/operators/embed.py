@@ -145,3 +145,43 @@ def merge_windows(parts: DataFrame, least_norm: float = 1.0) -> DataFrame:
     mean = each.groupBy("doc", "pos", "dim").agg(F.avg("x").alias("x"), F.avg("raw_norm").alias("raw_norm"))
     whole = mean.groupBy("doc", "pos").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"), F.max("raw_norm").alias("raw_norm"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     return whole.where((F.col("raw_norm") >= least_norm) & (F.col("size") > 0)).select("doc", "pos", F.transform("v", lambda p: p["x"] / F.col("size")).alias("vec"))
+
+
+class NeuralEmbedder(Embedder):
+    """A T5 encoder over sliding windows of token ids. encoder: functions.kernels.Encoder; tokenizer: operators.tokenizer.Unigram."""
+
+    def __init__(self, encoder, tokenizer, *, window: int = 512, stride: int = 256, least_norm: float = 1.0, model: str = "t5", overflow: str = "truncate"):
+        self.encoder, self.tokenizer, self.window, self.stride, self.least_norm = encoder, tokenizer, window, stride, least_norm
+        self.dims, self.model, self.max_tokens = len(encoder.projection), model, 8 * window
+        super().__init__(overflow)
+
+    def starts(self, n: int) -> list[int]:
+        if n <= self.window:
+            return [0] if n else []
+        return sorted({*range(0, n - self.window + 1, self.stride), n - self.window})
+
+    def encode(self, text: str, min_surface: int = 0) -> np.ndarray:
+        if not text.strip():
+            return np.empty((0, self.dims), np.float32)
+        ids = self.limited(self.tokenizer.encode(text))
+        n = len(ids)
+        total, norms, times = np.zeros((n, self.dims)), np.zeros(n), np.zeros(n)
+        for a in self.starts(n):
+            raw = self.encoder.raw(np.array(ids[a : a + self.window]))
+            size = np.linalg.norm(raw, axis=1)
+            part = slice(a, a + len(raw))
+            total[part] += raw / np.maximum(size, 1e-12)[:, None]
+            norms[part] += size
+            times[part] += 1
+        mean, norm = total / times[:, None], norms / times
+        length = np.linalg.norm(mean, axis=1)
+        keep = (norm >= self.least_norm) & (length > 0)
+        if min_surface:
+            keep &= np.array([len(self.tokenizer.decode([i]).strip()) > min_surface for i in ids])
+        return (mean[keep] / length[keep, None]).astype(np.float32)
+
+    def encode_query(self, text: str, min_surface: int = 0) -> np.ndarray:
+        return self.encode(text, min_surface)
+
+    def vectors(self, tokens: list[str]) -> np.ndarray:
+        return self.encode(" ".join(tokens))

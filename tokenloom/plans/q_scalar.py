@@ -164,3 +164,49 @@ def hash_embedder(spark, sf_dir):
 
     e = embed(table(spark, sf_dir, "benchmark"), HashEmbedder(), id="item_id", text="text")
     return e.select("item_id", F.col("token_offset").cast("long").alias("token_offset"), F.round(F.col("vec")[0].cast("double"), 4).alias("first"), F.round(F.col("vec")[15].cast("double"), 4).alias("last"))
+
+
+_V = "v AS (SELECT token, vec, list_sum(list_transform(vec, lambda x: x * x)) AS sq, list_max(vec) AS top FROM tokens)"
+
+
+@query(f"WITH {TOKENS}, {_V} SELECT token, round(vec[1] / sqrt(sq / 64 + 1e-6), 6) AS first, round(vec[64] / sqrt(sq / 64 + 1e-6), 6) AS last FROM v")
+def rms_norm(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    size = F.sqrt(V.dot("vec", "vec") / F.size("vec") + 1e-6)
+    return t.select("token", F.round(F.col("vec")[0] / size, 6).alias("first"), F.round(F.col("vec")[63] / size, 6).alias("last"))
+
+
+@query(f"WITH {TOKENS}, {_V} SELECT token, round(exp(vec[1] - top) / list_sum(list_transform(vec, lambda x: exp(x - top))), 6) AS first FROM v")
+def softmax(spark, sf_dir):
+    t = tokens(spark, sf_dir).withColumn("top", F.array_max("vec"))
+    e = F.transform("vec", lambda x: F.exp(x - F.col("top")))
+    return t.select("token", F.round(e[0] / F.aggregate(e, F.lit(0.0), lambda a, x: a + x), 6).alias("first"))
+
+
+_GELU = "0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x)))"
+
+
+@query(f"WITH {TOKENS} SELECT token, round(list_sum(list_transform(range(1, 33), lambda i: list_transform([vec[i]], lambda x: {_GELU})[1] * vec[i + 32])), 6) AS total FROM tokens")
+def gated_gelu(spark, sf_dir):
+    gelu = lambda x: 0.5 * x * (1 + F.tanh(F.sqrt(2 / F.pi()) * (x + 0.044715 * x * x * x)))
+    t = tokens(spark, sf_dir)
+    gated = F.zip_with(F.slice("vec", 1, 32), F.slice("vec", 33, 32), lambda g, u: gelu(g) * u)
+    return t.select("token", F.round(F.aggregate(gated, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"WITH {TOKENS} SELECT a.token, round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] + p[2]))), 6) AS total FROM tokens a JOIN tokens b ON b.token = a.token + 1")
+def residual_add(spark, sf_dir):
+    t = tokens(spark, sf_dir).select("token", "vec")
+    after = t.select((F.col("token") - 1).alias("token"), F.col("vec").alias("next"))
+    return t.join(after, "token").select("token", F.round(F.aggregate(V.add("vec", "next"), F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("total"))
+
+
+@query("""SELECT conv_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * i)), 6) AS total FROM (
+SELECT conv_id, list(x ORDER BY pos) AS v FROM (SELECT conv_id, pos, avg(x) AS x FROM (
+SELECT conv_id, turn, i AS pos, CAST(length(text) AS DOUBLE) * i AS x FROM conversations, unnest(range(0, 4)) AS r(i)) GROUP BY 1, 2) GROUP BY 1)""")
+def positional_mean(spark, sf_dir):
+    """Mean by position over overlapping rows, the core of merging windows."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.char_length("text").cast("double").alias("n"))
+    each = c.select("conv_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("n") * i)).alias("pos", "x"))
+    mean = each.groupBy("conv_id", "pos").agg(F.avg("x").alias("x"))
+    return mean.groupBy("conv_id").agg(F.round(F.sum(F.col("x") * (F.col("pos") + 1)), 6).alias("total"))
