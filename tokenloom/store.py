@@ -35,7 +35,7 @@ class SearchConfig:
     budget: int = 50
     title_weight: float = 3.0
     match: str = "all"
-    deadline: float = 5.0
+    deadline: float = 60.0  # a Spark job takes seconds where an embedded index takes milliseconds
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.token_budget < 1 or self.rrf_k < 0 or self.budget < 1 or self.title_weight < 0 or self.match not in ("all", "any"):
