@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_documents, q_scalar, q_search
+from . import q_codecs, q_documents, q_scalar, q_search
 
-QUERIES: dict = q_documents.QUERIES | q_scalar.QUERIES | q_search.QUERIES
-SQL: dict[str, str] = q_documents.SQL | q_scalar.SQL | q_search.SQL
+QUERIES: dict = q_documents.QUERIES | q_scalar.QUERIES | q_search.QUERIES | q_codecs.QUERIES
+SQL: dict[str, str] = q_documents.SQL | q_scalar.SQL | q_search.SQL | q_codecs.SQL
