@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: list[str] = []
+from ..sources.scratch import scratch_dir, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir.
-
-    Only a session without that setting (tests on one machine) gets a folder of
-    its own, removed when the process ends.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dirs:
-        _own_dirs.append(tempfile.mkdtemp(prefix="tokenloom-"))
-        atexit.register(shutil.rmtree, _own_dirs[0], ignore_errors=True)
-    return f"file://{_own_dirs[0]}"
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/tokenloom/{tag}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -55,12 +31,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def local_path(uri: str) -> str:
-    """Path of a file URI as pyarrow's local file system wants it; other URIs unchanged."""
-    parts = urlparse(uri)
-    return parts.path if parts.scheme in ("", "file") else uri
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, or a variant of it that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -84,3 +54,6 @@ def chunks(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
         total += n
     if len(sizes) > start:
         yield start, len(sizes)
+
+
+__all__ = ["chunks", "discard", "fold", "free_name", "materialise", "scratch_dir", "scratch_path", "table"]
