@@ -168,6 +168,52 @@ def test_tokenizer(spark):
     assert [r.ids for r in tokenise(df, t, id="id", text="text").orderBy("id").collect()] == [[3, 8], []]
 
 
+def charsmap(entries: dict[str, str]) -> bytes:
+    """A map with a hand-laid double array: every node gets a free block of 256 units."""
+    import struct
+
+    root: dict = {}
+    texts = b""
+    for k, v in entries.items():
+        node = root
+        for c in k.encode():
+            node = node.setdefault(c, {})
+        node[None] = len(texts)
+        texts += v.encode() + b"\0"
+    units, blocks = [0] * 65536, iter(range(256, 65536, 256))
+
+    def lay(node, at):
+        block = next(blocks)
+        offset = at ^ block
+        units[at] |= (offset >> 8) << 10 | 1 << 9 if offset & 255 == 0 else offset << 10
+        if None in node:
+            units[at] |= 1 << 8
+            units[block] = node[None] | 1 << 31
+        for c, child in node.items():
+            if c is not None:
+                units[block ^ c] = c
+                lay(child, block ^ c)
+
+    lay(root, 0)
+    body = struct.pack(f"<{len(units)}I", *units)
+    return struct.pack("<I", len(body)) + body + texts
+
+
+def test_precompiled_normalizer():
+    import base64
+
+    from tokenloom.operators.tokenizer import CharsMap
+
+    data = charsmap({"\u00a0": " ", "ﬁ": "fi", "Å": "A", "ÅÅ": "double", "x": ""})
+    m = CharsMap(data)
+    assert m.normalise("ﬁne\u00a0Å ÅÅ yxz\U0001f600") == "fine A double yz\U0001f600"
+    t = Unigram([("<unk>", 0.0), ("▁fi", -1.0)], unk=0, normalizers=[{"type": "Precompiled", "precompiled_charsmap": base64.b64encode(data).decode()}])
+    assert t.encode("ﬁ") == [1]
+    assert Unigram([("▁a", 0.0)], normalizers=[{"type": "Precompiled"}]).encode("a") == [0]
+    with pytest.raises(ValueError):
+        CharsMap(b"\xff\0\0\0")
+
+
 def test_accents(spark):
     from tokenloom.functions.text import fold_accents
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,6 +46,7 @@ class Unigram:
         names = sorted((a.content for a in self.added), key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.by_content = {a.content: a for a in self.added}
+        self.charsmaps: dict[str, CharsMap] = {}
 
     @classmethod
     def load(cls, source: str | Path | bytes) -> Unigram:
@@ -78,11 +81,16 @@ class Unigram:
             elif kind in ("NFC", "NFKC"):
                 text = unicodedata.normalize(kind, text)
             elif kind == "Precompiled":
-                text = unicodedata.normalize("NFKC", text)
+                text = self._charsmap(n.get("precompiled_charsmap") or "").normalise(text)
             else:
                 raise ValueError(f"normalizer {kind} is not supported")
         return text
 
+    def _charsmap(self, encoded: str) -> CharsMap:
+        if encoded not in self.charsmaps:
+            self.charsmaps[encoded] = CharsMap(base64.b64decode(encoded) or b"\0\0\0\0")
+        return self.charsmaps[encoded]
+
     def best_path(self, word: str) -> list[int]:
         n = len(word)
         best = [0.0] + [float("-inf")] * n
@@ -157,3 +165,55 @@ def tokenise(docs: DataFrame, tokenizer: Unigram, *, id: str, text: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id, "ids"])
 
     return docs.select(id, text).mapInArrow(run, f"{id} {kind}, ids array<int>")
+
+
+class CharsMap:
+    """A precompiled character map: a double-array trie of inputs and a blob of NUL-ended replacements.
+
+    Unit layout of the public Darts-clone structure: bit 8 marks a leaf, bits 0-7
+    and 31 are the label, bits 10 and up the offset, widened by bit 9.
+    """
+
+    def __init__(self, data: bytes):
+        (size,) = struct.unpack_from("<I", data)
+        if size % 4 or 4 + size > len(data):
+            raise ValueError("the trie is longer than the map")
+        self.units = struct.unpack_from(f"<{size // 4}I", data, 4)
+        self.texts = data[4 + size :]
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    def longest(self, data: bytes, start: int) -> tuple[int, int] | None:
+        """Bytes and value of the longest entry that data holds at start."""
+        if not self.units:
+            return None
+        node, found = self._offset(self.units[0]), None
+        for i in range(start, len(data)):
+            node ^= data[i]
+            if node >= len(self.units):
+                break
+            unit = self.units[node]
+            if unit & (1 << 31 | 0xFF) != data[i]:
+                break
+            node ^= self._offset(unit)
+            if unit >> 8 & 1 and node < len(self.units):
+                found = i + 1 - start, self.units[node] & 0x7FFFFFFF
+        return found
+
+    def normalise(self, text: str) -> str:
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            hit = self.longest(data, at)
+            if hit:
+                end = self.texts.index(b"\0", hit[1])
+                out.append(self.texts[hit[1] : end])
+                at += hit[0]
+            else:  # a whole character passes unchanged
+                n = 1
+                while at + n < len(data) and data[at + n] & 0xC0 == 0x80:
+                    n += 1
+                out.append(data[at : at + n])
+                at += n
+        return b"".join(out).decode()
