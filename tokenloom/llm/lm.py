@@ -197,10 +197,9 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(int), 0), BUCKETS - 1)
 
 
-def estimates(c: Counts, n: int, v: int) -> np.ndarray:
-    """Bigram, unigram and uniform estimate of each token."""
-    two = np.where(c.context > 0, c.pair / np.maximum(c.context, 1), 0.0)
-    return np.stack([two, c.word / max(n, 1), np.full(len(two), 1 / (v + 1))], 1)
+def estimates(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bigram and unigram estimate of each token; the uniform one is the same for all."""
+    return np.where(context > 0, pair / np.maximum(context, 1), 0.0), word / max(n, 1)
 
 
 def _learn(batches: DataFrame, counts: DataFrame, n: int, v: int, documents: int, rounds: int) -> np.ndarray:
@@ -212,15 +211,14 @@ def _learn(batches: DataFrame, counts: DataFrame, n: int, v: int, documents: int
             b = Batch(row)
             c = Counts(b, right, "some", documents)
             own = b.role == KEPT_BACK
-            e = estimates(c, n, v)[own]
             # Events with the same counts are one event with a multiplicity.
-            same = np.stack([c.pair[own], c.context[own], c.word[own]], 1)
-            order = np.lexsort(same.T)
-            new = np.append(True, (np.diff(same[order], axis=0) != 0).any(1)) if len(order) else np.empty(0, bool)
-            at = np.flatnonzero(new)
-            out[0].append(np.diff(np.append(at, len(order))).astype("<f8").tobytes())
-            out[1].append(bucket_of(c.context[own][order[at]]).astype("u1").tobytes())
-            out[2].append(e[order[at], :2].astype("<f8").tobytes())
+            pair, context, word = c.pair[own], c.context[own], c.word[own]
+            order = np.lexsort((word, context, pair))
+            pair, context, word = pair[order], context[order], word[order]
+            new = np.flatnonzero(np.append(True, (np.diff(pair) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0)))
+            out[0].append(np.diff(np.append(new, len(order))).astype("<f8").tobytes())
+            out[1].append(bucket_of(context[new]).astype("u1").tobytes())
+            out[2].append(np.stack(estimates(pair[new], context[new], word[new], n), 1).astype("<f8").tobytes())
         return pa.table({k: pa.array(x, pa.binary()) for k, x in zip(("times", "bucket", "estimates"), out)})
 
     some = counts.select("batch", "kind", "part", "n", "some")
@@ -280,7 +278,9 @@ def score(docs: DataFrame, learn: Column, keep_back: Column, *, doc_id: str = "d
             c = Counts(b, right, "every", all_docs)
             starts = np.append(0, b.ends[:-1])
             add = lambda x: np.add.reduceat(x, starts)
-            model = np.log10((weights[bucket_of(c.context)] * estimates(c, n, v)).sum(1))
+            bucket = bucket_of(c.context)
+            two, one = estimates(c.pair, c.context, c.word, n)
+            model = np.log10(weights[bucket, 0] * two + weights[bucket, 1] * one + weights[bucket, 2] / (v + 1))
             base = np.log10((c.word + 1) / (n + v + 1))
             null = b.ids == -(1 << 63)
             out.append(pa.table({"id": pa.array(b.ids, mask=null), "n_tokens": b.lengths.astype("i8"), "n_known": add((c.word > 0).astype("i8")), "train_tokens": np.full(len(b.ids), n, "i8"), "base_score": add(base), "score": add(model)}))
