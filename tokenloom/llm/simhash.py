@@ -10,11 +10,12 @@ classes under prefixes of the permuted bits.
 Depth follows density. The base depth grows with the logarithm of the number of
 classes, so that a bucket of unrelated classes stays small, and the number of
 trees follows from the target recall for a pair at the similarity threshold.
-Where a bucket at the base depth is dense, its members are first compared under a
-longer prefix; the links verified there label them, and on climbing back to the
-base depth members of one label are not compared again. Dense buckets that still
-hold several labels are split into blocks, and all pairs of blocks are compared
-by separate tasks. From a bucket each class is paired with the `near` first
+Where a bucket at the base depth is dense, members are first compared under a
+longer prefix, in blocks that differ from tree to tree; the links verified there
+label them, and on climbing back to the base depth a dense bucket of one label is
+left out and members of one label are not compared again. Dense buckets that
+still hold several labels are split into blocks, and all pairs of blocks are
+compared by separate tasks. From a bucket each class is paired with the `near` first
 earlier ones within the Hamming bound; if any pair was left out so, a last round
 emits every remaining pair of different labels among the classes that had a
 partner, so that none is lost. Pairs are verified by the Jaccard similarity of
@@ -127,10 +128,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(sims, pa.binary())], ["doc", "id", "sim"])
 
 
-def _filer(depth: int, trees: int, hot: dict[int, int]):
+def _filer(depth: int, trees: int, hot: dict[int, int], across: bool):
     """Files (id, label, sim) under tree and prefix: rows (bucket, pair, data), data packing the members of a batch.
 
-    hot: number of blocks of buckets to be split; the others have one.
+    hot: number of blocks of buckets to be split, 0 for one to be left out; the
+    others have one block. across: pair every block with every other; otherwise
+    each block stays alone, and which one a member is in differs by tree.
     """
     member = np.dtype([("id", "<i8"), ("label", "<i8"), ("block", "<i4"), ("sim", "V32")])
 
@@ -144,12 +147,12 @@ def _filer(depth: int, trees: int, hot: dict[int, int]):
             raw = b"".join(batch.column(2).to_pylist())
             own["sim"] = np.frombuffer(raw, "V32")
             sims = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
-            spread = mix(own["id"].astype(np.uint64))
             buckets, pairs, data = [], [], []
             for tree in range(trees):
                 bucket = permuted_prefixes(sims, tree, depth) + (tree << depth)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.flatnonzero(np.append(np.diff(bucket[order]) != 0, True)) + 1
+                spread = mix(own["id"].astype(np.uint64) + np.uint64(tree))
                 is_hot = np.isin(bucket[order], split) if len(split) else np.zeros(len(order), bool)
                 for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
                     name, rows = int(bucket[order[a]]), own[order[a:b]]
@@ -157,9 +160,11 @@ def _filer(depth: int, trees: int, hot: dict[int, int]):
                         buckets.append(name), pairs.append(0), data.append(rows.tobytes())
                         continue
                     n = hot[name]
+                    if not n:
+                        continue
                     rows["block"] = (spread[order[a:b]] % np.uint64(n)).astype(np.int32)
                     for x in range(n):
-                        for y in range(x, n):
+                        for y in range(x, n if across else x + 1):
                             if len(some := rows[(rows["block"] == x) | (rows["block"] == y)]):
                                 buckets.append(name), pairs.append(x * n + y), data.append(some.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(pairs, pa.int64()), pa.array(data, pa.binary())], ["bucket", "pair", "data"])
@@ -225,25 +230,33 @@ def _matcher(member: np.dtype, bound: int, near: int | None):
     return run
 
 
-def _candidates(reps: DataFrame, depth: int, trees: int, bound: int, near: int | None, hot: dict[int, int]) -> DataFrame:
-    file, member = _filer(depth, trees, hot)
+def _candidates(reps: DataFrame, depth: int, trees: int, bound: int, near: int | None, hot: dict[int, int], across: bool) -> DataFrame:
+    file, member = _filer(depth, trees, hot, across)
     filed = reps.select("id", "label", "sim").mapInArrow(file, "bucket long, pair long, data binary")
     sorted_ = filed.repartition(F.xxhash64("bucket", "pair")).sortWithinPartitions("bucket", "pair")
     return materialise(sorted_.mapInArrow(_matcher(member, bound, near), "a long, b long").distinct(), "simhash-pairs")
 
 
 def _hot_buckets(reps: DataFrame, depth: int, trees: int, limit: int) -> dict[int, int]:
-    """Buckets of more than limit members and their number of blocks. There are at most trees * n / limit of them."""
+    """Buckets of more than limit members and their number of blocks, 0 if all members have one label. At most trees * n / limit of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sims = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                names, n = zip(*(np.unique(permuted_prefixes(sims, t, depth) + (t << depth), return_counts=True) for t in range(trees)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(n))], ["bucket", "n"])
+            if not batch.num_rows:
+                continue
+            sims, label = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8), batch.column(1).to_numpy()
+            out = []
+            for t in range(trees):
+                bucket = permuted_prefixes(sims, t, depth) + (t << depth)
+                order = np.argsort(bucket, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+                own = label[order]
+                out.append((bucket[order][starts], np.diff(np.append(starts, len(order))), np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["bucket", "n", "low", "high"])
 
-    counts = reps.select("sim").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return {r.bucket: math.ceil(r.n / limit) for r in counts.where(F.col("n") > limit).toLocalIterator()}
+    counts = reps.select("sim", "label").mapInArrow(count, "bucket long, n long, low long, high long")
+    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") > limit)
+    return {r.bucket: 0 if r.low == r.high else math.ceil(r.n / limit) for r in counts.toLocalIterator()}
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -293,7 +306,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     depth, trees, bound = forest_shape(n, similarity, recall)
     texts = own.where("doc is not null and text is not null")
     limit = max(block, math.ceil(n * trees / 200_000))
-    hot = _hot_buckets(classes, depth, trees, limit)
+    members = classes.select("id", F.col("id").alias("label"), "sim")
+    hot = _hot_buckets(members, depth, trees, limit)
     links: list[DataFrame] = []
 
     def all_links() -> DataFrame:
@@ -302,9 +316,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             out = out.union(x)
         return out
 
-    def compare(members: DataFrame, depth: int, near: int | None, hot: dict[int, int]) -> tuple[DataFrame, bool]:
+    def compare(members: DataFrame, depth: int, near: int | None, hot: dict[int, int], across: bool = True) -> tuple[DataFrame, bool]:
         """Pair members (id, label, sim) under one depth and keep the verified links. The ids that had a partner; whether pairs were left out."""
-        found = _candidates(members, depth, trees, bound, near, hot)
+        found = _candidates(members, depth, trees, bound, near, hot, across)
         pairs, more = found.where("b is not null"), bool(found.where("b is null").head(1))
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = _sets_of(texts, classes.join(ids, "id", "left_semi").select("doc")).join(ids, "id", "left_semi").dropDuplicates(["id"])
@@ -315,11 +329,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         of = components(all_links())
         return materialise(classes.select("id", "sim").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "sim"), "simhash-labels")
 
-    members = classes.select("id", F.col("id").alias("label"), "sim")
-    if hot and depth < 32:
+    if hot and depth < 32:  # dense buckets: descend, label what is linked there, and climb back
         deeper = min(32, depth + 12)
-        compare(members, deeper, near, _hot_buckets(members, deeper, trees, limit))
+        compare(members, deeper, near, _hot_buckets(members, deeper, trees, limit), across=False)
         members = labelled()
+        hot = _hot_buckets(members, depth, trees, limit)
     ids, more = compare(members, depth, near, hot)
     if more:
         members = materialise(labelled().join(ids, "id", "left_semi"), "simhash-partnered")
