@@ -2,10 +2,10 @@
 
 Words are runs of ASCII letters and digits (lower-cased) and of any character
 beyond ASCII. A benchmark item contributes each run of `n` consecutive words as
-a window; an item of fewer words, but not none, is one window. Windows are kept
-as arrays of word numbers in a sorted array of 64-bit rolling hashes, which is
-broadcast; document windows are looked up there and a hit is verified against
-the word numbers themselves, so a hash collision never counts.
+a window; an item of fewer words, but not none, is one window. A sorted array of
+64-bit window hashes, with the items' word numbers, is broadcast; document windows
+are looked up there and a hit is verified against the word numbers themselves, so
+a hash collision never counts.
 
 Defined cases: a null or empty document has no words and no hits. A null or
 empty item has no windows. Rows of an item with a null id mark words as hit but
@@ -49,45 +49,54 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Hash set of the windows of some benchmark items."""
+    """Hash set of the windows of some benchmark items: some 30 bytes a word, and the distinct words."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.vocab: dict[bytes, int] = {}
-        self.where: dict[bytes, set[str | None]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
+        self.items: list[str | None] = []
+        ids: list[np.ndarray] = []
         for item, text in items:
-            found = words_of(text)
-            if not found:
-                continue
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in found], np.uint64)
-            size = min(n, len(ids))
-            hashes.setdefault(size, []).append(rolling(ids, np.arange(len(ids) - size + 1), size))
-            for i in range(len(ids) - size + 1):
-                self.where.setdefault(ids[i : i + size].tobytes(), set()).add(item)
-        self.hashes = {size: np.unique(np.concatenate(hs)) for size, hs in sorted(hashes.items())}
-
-    def scan(self, found: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]] | None]:
+            if found := words_of(text):
+                self.items.append(item)
+                ids.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in found], np.uint64))
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.uint64)
+        self.starts = np.cumsum([0, *map(len, ids)])
+        places: dict[int, list[np.ndarray]] = {}
+        for a, own in zip(self.starts, ids):
+            size = min(n, len(own))
+            places.setdefault(size, []).append(a + np.arange(len(own) - size + 1))
+        #: by size of window: sorted hashes and the places of their windows in ids
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, at in sorted(places.items()):
+            at = np.concatenate(at)
+            h = rolling(self.ids, at, size)
+            order = np.argsort(h, kind="stable")
+            self.windows[size] = h[order], at[order]
+
+    def scan(self, found: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]] | None]:
         """Per document: ranges of words inside occurring windows and the items, or None."""
-        out: list[tuple[np.ndarray, set[str]] | None] = [None] * len(found)
+        hits: dict[int, tuple[list, set]] = {}
         starts = np.cumsum([0, *(len(w) + 1 for w in found)])
         ids = np.zeros(starts[-1], np.uint64)  # a zero, as for an unknown word, ends each document
         for k, ws in enumerate(found):
             ids[starts[k] : starts[k] + len(ws)] = np.fromiter(map(self.vocab.get, ws, repeat(0)), np.uint64, len(ws))
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for size, hashes in self.hashes.items():
+        for size, (hashes, places) in self.windows.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
             h = rolling(ids, at, size)
-            slot = np.searchsorted(hashes, h)
-            at = at[(slot < len(hashes)) & (hashes[np.minimum(slot, len(hashes) - 1)] == h)]
-            for i, doc in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist()):
-                if (items := self.where.get(ids[i : i + size].tobytes())) is not None:
-                    if out[doc] is None:
-                        out[doc] = ([], set())
-                    out[doc][0].append((i - starts[doc], i - starts[doc] + size))
-                    out[doc][1].update(x for x in items if x is not None)
-        return [x and (merged(x[0]), x[1]) for x in out]
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            docs = np.searchsorted(starts, at, "right") - 1
+            for i, a, b, doc in zip(at.tolist(), low.tolist(), high.tolist(), docs.tolist()):
+                same = [p for p in places[a:b].tolist() if (self.ids[p : p + size] == ids[i : i + size]).all()]
+                if same:
+                    ranges, items = hits.setdefault(doc, ([], set()))
+                    ranges.append((i - int(starts[doc]), i - int(starts[doc]) + size))
+                    owners = np.searchsorted(self.starts, same, "right") - 1
+                    items.update(x for x in (self.items[o] for o in owners.tolist()) if x is not None)
+        return [(merged(hits[k][0]), hits[k][1]) if k in hits else None for k in range(len(found))]
 
 
 def rolling(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -141,7 +150,7 @@ def _scanner(windows, text_at: int, previous: int | None, names: list[str]):
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, max_words: int = 4_000_000, max_bytes: int = 64 << 20) -> tuple[DataFrame, str]:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, max_words: int = 1_000_000, max_bytes: int = 64 << 20) -> tuple[DataFrame, str]:
     """docs with one struct column (see SCAN) and that column's name.
 
     The benchmark's words and bytes are counted first. Up to max_words and
