@@ -48,7 +48,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHINGLE, BITS = 5, 256
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03], np.uint64)
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
 _SLOTS = 1 << 23
 
 
@@ -65,29 +65,33 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     number.default_factory = number.__len__
     ids = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in (WORD.findall(t.lower()) for t in texts)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-    out = []
+    words = hashes[np.concatenate(ids)] if ids else hashes
+    long = _shingles(words, SHINGLE)  # of all texts at once; those that run into the next text are not looked at
+    out, at = [], 0
     for own in ids:
-        h = hashes[own]
-        size = min(SHINGLE, len(h))
-        if not size:
-            out.append(h)
-            continue
-        s = np.full(len(h) - size + 1, size, np.uint64)
-        for j in range(size):
-            s = mix(s + h[j : len(h) - size + 1 + j])
-        out.append(np.unique(s))
+        n = len(own)
+        some = long[at : at + n - SHINGLE + 1] if n >= SHINGLE else _shingles(words[at : at + n], n) if n else words[:0]
+        out.append(np.unique(some))
+        at += n
     return out
 
 
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    s = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for j in range(size):
+        s = mix(s + words[j : j + len(s)])
+    return s
+
+
 def simhash(hashes: np.ndarray) -> np.ndarray:
     """BITS bits as bytes: bit k is set if it is set in most of the hashes' k-th bits."""
-    ones = np.zeros((BITS // 8, 8), np.int64)
+    ones = np.zeros((BITS // 8, 8))
     place = np.arange(BITS // 8) * 256
     for a in range(0, len(hashes), 1 << 16):
         part = hashes[a : a + (1 << 16)]
         data = mix(part[:, None] ^ _SEEDS).view(np.uint8)
         counts = np.bincount((data + place).ravel(), minlength=BITS // 8 * 256).reshape(-1, 256)
-        ones += counts @ _BYTE_BITS
+        ones += counts.astype(np.float32) @ _BYTE_BITS  # exact: sums of at most 2**16
     return np.packbits((2 * ones > len(hashes)).ravel())
 
 
