@@ -135,7 +135,7 @@ def _scanner(windows, text_at: int, previous: int | None, names: list[str]):
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             before = batch.column(previous).to_pylist() if previous is not None else None
             rows: list[dict] = []
-            for a, b in chunks([len(t or b"") for t in texts], 8 << 20):
+            for a, b in chunks([len(t or b"") for t in texts], 2 << 20):
                 found = [words_of(t) if t else [] for t in texts[a:b]]
                 for k, (ws, hit) in enumerate(zip(found, known.scan(found))):
                     ranges, items = hit or ([], set())

@@ -180,7 +180,7 @@ def identify(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: st
         for batch in batches:
             texts = batch.column(at).to_pylist()
             labels, scores = [], []
-            for a, b in chunks([len(t or "") for t in texts], 8 << 20):
+            for a, b in chunks([len(t or "") for t in texts], 2 << 20):
                 got = shared.value.predict(texts[a:b])
                 labels += got[0]
                 scores.append(got[1])

@@ -31,7 +31,7 @@ from .common import chunks, free_name
 
 #: Limits of the analysis: strings kept exactly, and members of a character class spelt out.
 _MAX_EXACT, _MAX_CLASS = 64, 4
-_SEGMENT_BYTES = 16 << 20
+_SEGMENT_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
