@@ -10,7 +10,7 @@ from tokenloom.functions.codecs import encode_pairs, floats_to_blob, pack_nibble
 from tokenloom.operators.embed import HashEmbedder
 from tokenloom.operators.filters import MetadataEquals
 from tokenloom.operators.lsm import IndexConfig
-from tokenloom.sources.files import import_buckets, import_documents, read_corpus, read_id_map, read_judgements, read_sqlite
+from tokenloom.sources.files import export_sqlite, import_buckets, import_documents, log_failures, read_corpus, read_id_map, read_judgements, read_sqlite
 from tokenloom.store import AlreadyShutDown, SearchConfig, SearchTimeout, Store
 from tokenloom.streaming.ingest import ingest, matching
 
@@ -90,3 +90,23 @@ def test_sqlite_import(spark, tmp_path):
     centroids, postings = import_buckets(read_sqlite(spark, path, "bucket"))
     assert [(r.gen, r.bucket, r.n, r.center) for r in centroids.collect()] == [(3, 1, 2, [1.0] * 4)]
     assert [(r.chunk_id, r.token_offset, r.levels) for r in postings.orderBy("chunk_id").collect()] == [(1, 0, [0, 1, 2, 3]), (2, 5, [4, 5, 6, 7])]
+
+
+def test_sqlite_export(spark, tmp_path):
+    import datetime as dt
+
+    docs = spark.createDataFrame([("a", dt.datetime(1970, 1, 2), {"k": "v"}, "h", "red fox", None), ("b", None, {}, "h2", "blue", "Fox")], "uuid string, date timestamp, metadata map<string,string>, hash string, body string, title string")
+    chunks = spark.createDataFrame([(1, "h", "m", 2)], "id long, hash string, model string, token_count int")
+    export_sqlite(str(tmp_path / "o.db"), docs, chunks)
+    back = {r.uuid: r for r in import_documents(read_sqlite(spark, str(tmp_path / "o.db"), "document")).collect()}
+    assert back["a"].metadata == {"k": "v"} and back["a"].date == dt.datetime(1970, 1, 2) and back["b"].date is None
+    with sqlite3.connect(str(tmp_path / "o.db")) as c:
+        assert [r[0] for r in c.execute("SELECT uuid FROM document_fts JOIN document ON document.rowid = document_fts.rowid WHERE document_fts MATCH 'fox' ORDER BY uuid")] == ["a", "b"]
+
+
+def test_failure_log(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1)], "what string, at int")
+    log_failures(df, str(tmp_path / "log"))
+    log_failures(df, str(tmp_path / "log"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert lines == [{"at": 1, "what": "x"}] * 2

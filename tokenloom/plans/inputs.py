@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, terms
+from ..sources.spread import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def title_of(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uuid, body, title (the first three terms), hash, metadata (lang, source)."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("doc_id").cast("string").alias("uuid"), F.col("text").alias("body"), title_of(F.col("text")).alias("title"),
         content_hash("text").alias("hash"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.codecs import decode_pairs, floats_from_blob, unpack_nibbles
-from ..functions.text import string_metadata
+from ..functions.text import metadata_json, string_metadata
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -110,3 +110,25 @@ def import_buckets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = postings.groupBy("gen", "bucket").agg(F.count("*").alias("n"))
     centers = raw.select(F.col("generation_id").alias("gen"), F.col("id").cast("int").alias("bucket"), center("center").alias("center"))
     return centers.join(counts, ["gen", "bucket"], "left").select("gen", "bucket", "center", F.coalesce("n", F.lit(0)).alias("n")), postings
+
+
+def export_sqlite(path: str, documents: DataFrame, chunks: DataFrame) -> None:
+    """Documents and chunks as an SQLite file with a full-text index over title and body.
+
+    The file is written by the driver, row by row as they stream in: an export
+    for embedded readers, of a store that fits one machine's disk.
+    """
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE document (uuid TEXT PRIMARY KEY, date REAL, metadata TEXT, hash TEXT, body TEXT, title TEXT)")
+        c.execute("CREATE TABLE chunk (id INTEGER PRIMARY KEY, hash TEXT UNIQUE, model TEXT, token_count INTEGER)")
+        c.execute("CREATE VIRTUAL TABLE document_fts USING fts5(title, body, content='document', content_rowid='rowid')")
+        out = documents.select("uuid", (F.unix_micros("date") / 1e6).alias("date"), metadata_json("metadata").alias("metadata"), "hash", "body", "title")
+        c.executemany("INSERT INTO document VALUES (?, ?, ?, ?, ?, ?)", (tuple(r) for r in out.toLocalIterator()))
+        c.executemany("INSERT INTO chunk VALUES (?, ?, ?, ?)", (tuple(r) for r in chunks.select("id", "hash", "model", "token_count").toLocalIterator()))
+        c.execute("INSERT INTO document_fts(document_fts) VALUES ('rebuild')")
+        c.execute("PRAGMA user_version = 1")
+
+
+def log_failures(rows: DataFrame, path: str) -> None:
+    """Append rows to a folder of JSON lines, columns in alphabetical order."""
+    rows.select(*sorted(rows.columns)).write.mode("append").json(path)
