@@ -38,7 +38,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, materialise
@@ -263,30 +264,60 @@ def _hot_buckets(reps: DataFrame, depth: int, trees: int, limit: int) -> dict[in
     return {r.bucket: 0 if r.low == r.high else math.ceil(r.n / limit) for r in counts.toLocalIterator()}
 
 
+def _slot(doc: str) -> list[Column]:
+    slot = F.pmod(F.xxhash64(doc), F.lit(_SLOTS))
+    return [F.bitmap_bucket_number(slot).alias("slot_bucket_"), F.bitmap_bit_position(slot).alias("slot_bit_")]
+
+
+def _marks(ids: DataFrame) -> Broadcast:
+    """A bit per hash slot of the ids in the only column of a frame: 1 MB whatever their number."""
+    bucket, bit = _slot(ids.columns[0])
+    marks = ids.select(bucket, bit).groupBy("slot_bucket_").agg(F.bitmap_construct_agg("slot_bit_").alias("bits"))
+    bits = np.zeros((_SLOTS // 32768 + 2, 4096), np.uint8)
+    for r in marks.toLocalIterator():
+        bits[r.slot_bucket_] = np.frombuffer(r.bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _marked(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Of rows that end with their slot's two columns, those whose bit is set; no bit is set for a null."""
+    bucket, bit = (batch.column(batch.num_columns - k).to_numpy() for k in (2, 1))
+    return ((bits[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, set) of the wanted classes, and few others. docs: doc, text; wanted: doc, the smallest document of a class.
 
-    A bit per hash slot of the wanted documents, 1 MB whatever their number, lets
-    the scan skip most other texts; the join on id that follows is exact.
+    Marks of the wanted documents let the scan skip most other texts; the join on
+    id that follows is exact.
     """
-    slot = F.pmod(F.xxhash64("doc"), F.lit(_SLOTS))
-    marks = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    bits = np.zeros((_SLOTS // 32768 + 2, 4096), np.uint8)
-    for r in marks.toLocalIterator():
-        bits[r.bucket] = np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    spot = docs.select("text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    shared = _marks(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, bit = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            keep = (shared.value[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            texts = batch.column(0).filter(pa.array(keep.astype(bool))).cast(pa.binary()).to_pylist()
+            texts = batch.column(0).filter(pa.array(_marked(shared.value, batch))).cast(pa.binary()).to_pylist()
             for a, b in chunks([len(t) for t in texts], 4 << 20):
                 sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(class_number, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
 
-    return spot.mapInArrow(run, "id long, set array<long>")
+    return docs.select("text", *_slot("doc")).mapInArrow(run, "id long, set array<long>")
+
+
+def _without(docs: DataFrame, doc_id: str, drop: DataFrame) -> DataFrame:
+    """docs without the ids of drop. Rows whose slot is not marked stay where they are; only the others are joined."""
+    shared = _marks(drop)
+
+    def taking(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    part = batch.filter(pa.array(_marked(shared.value, batch) == wanted))
+                    yield pa.RecordBatch.from_arrays(part.columns[:-2], part.schema.names[:-2])
+
+        return docs.select("*", *_slot(doc_id)).mapInArrow(run, docs.schema)
+
+    maybe = taking(True)
+    return taking(False).unionByName(maybe.join(drop, maybe[doc_id] == drop[drop.columns[0]], "left_anti"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -355,7 +386,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of docs without near-duplicates: of each group the document with the smallest id.
 
-    Only ids travel for that: the ids to drop are joined against docs. An id that
+    Only ids travel for that, and rows that may have one of the ids to drop. An id that
     repeats is dropped if none of its rows heads a group; otherwise its rows
     with different texts stay, one row for each text. Rows with a null id stay.
     """
@@ -363,7 +394,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     ids = materialise(found.groupBy(doc_id).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "simhash-ids")
     drop = ids.where("not kept").select(F.col(doc_id).alias("drop_"))
     again = ids.where("kept and n > 1").select(F.col(doc_id).alias("again_"))
-    rest = docs.join(drop, docs[doc_id] == drop["drop_"], "left_anti")
+    rest = _without(docs, doc_id, drop)
     if not again.head(1):
         return rest
     single = rest.join(again, rest[doc_id] == again["again_"], "left_semi").dropDuplicates([doc_id, text])
