@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir, scratch_path
+from ..sources.spread import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts to work through, on all cores even if it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -56,4 +62,4 @@ def chunks(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-__all__ = ["chunks", "discard", "fold", "free_name", "materialise", "scratch_dir", "scratch_path", "table"]
+__all__ = ["chunks", "discard", "fold", "free_name", "materialise", "scratch_dir", "scratch_path", "table", "texts"]

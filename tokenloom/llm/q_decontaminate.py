@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts
 from .decontaminate import scan
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     marked, s = scan(docs, table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.col(f"{s}.hits"), F.lit(0).cast("long"), lambda acc, h: acc + h["end"] - h["start"])
     return marked.select(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import texts
 from .mixing import plan_mix
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = plan_mix(docs)
     return plan.select(
         F.col("id_").cast(docs.schema["doc_id"].dataType).alias("doc_id"),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import scratch_path, table
+from .common import scratch_path, texts
 from .warc import read_archives, write_archives
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    archives = write_archives(table(spark, sf_dir, "pages"), path)
+    archives = write_archives(texts(spark, sf_dir, "pages"), path)
     return read_archives(archives, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
