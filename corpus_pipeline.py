@@ -23,30 +23,40 @@ from tokenloom.llm.simhash import keep_one
 MIN_SCORE = 0.3
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch: texts are long, and a batch lies in memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; those without a letter, or of no clear language, go."""
+    short_batches(spark)
     found, name = identify(docs, F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False)))
     return found.where((F.col(f"{name}.lang") != UND) & (F.col(f"{name}.score") >= MIN_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id."""
+    short_batches(spark)
     return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark table occurs."""
+    short_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their text replaced; n_chars follows the text."""
+    short_batches(spark)
     clean = redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, and how often."""
+    short_batches(spark)
     return mix(docs)
 
 
