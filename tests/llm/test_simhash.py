@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -85,6 +87,30 @@ def test_sketch_agrees_as_often_as_expected():
     assert depth > 20 and 1 - (1 - agreement(0.8) ** depth) ** trees >= 0.99 and 39 < bound < 70
 
 
+@pytest.mark.parametrize("n", [50_000, 3_000_000, 10**9])
+def test_forest_reaches_its_recall_at_the_threshold(n):
+    """Exactly, with bits drawn without repetition; also for a set of 15 shingles and 12 of them, the worst pair that the forest is for."""
+    depth, trees, bound = forest_shape(n, 0.8, 0.99)
+    for p in (agreement(0.8), 0.8388671875):
+        found = 0.0
+        for off in range(bound + 1):
+            alike = math.comb(256 - off, depth) / math.comb(256, depth)
+            found += math.comb(256, off) * (1 - p) ** off * p ** (256 - off) * (1 - (1 - alike) ** trees)
+        assert found >= 0.99 - 1e-9
+
+
+def test_short_documents_are_found_without_exception(spark):
+    """Pairs of similarity 0.8 or a little more or less, of 4 to 18 shingles."""
+    rows = []
+    for i in range(400):
+        n = 9 + i % 14
+        words = [f"s{i}w{j}" for j in range(n)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[: -1 - (i % 3 == 2)])), (3 * i + 2, " ".join(["x", *words[1:]]))]
+    assert run(spark.createDataFrame(rows[:300], "doc_id long, text string")) == brute(rows[:300])
+    pairs = [r for i in range(300) for r in ((2 * i, " ".join(f"p{i}w{j}" for j in range(9))), (2 * i + 1, " ".join(f"p{i}w{j}" for j in range(8))))]
+    assert all(c == d - d % 2 for d, c in run(spark.createDataFrame(pairs, "doc_id long, text string")))
+
+
 def test_odd_documents(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert run(odd) == brute(rows)

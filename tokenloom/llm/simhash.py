@@ -9,7 +9,16 @@ classes under prefixes of the permuted bits.
 
 Depth follows density. The base depth grows with the logarithm of the number of
 classes, so that a bucket of unrelated classes stays small, and the number of
-trees follows from the target recall for a pair at the similarity threshold.
+trees follows from the target recall for a pair at the similarity threshold,
+averaged over the Hamming distances that such a pair can have.
+
+Sets of up to 14 shingles agree in fewer bits at the same similarity, so pairs of
+those are found without a sketch: a class is filed under every subset that it may
+share with a partner, and under each subset all classes are linked with the
+smallest as far as sizes allow. Two sets of the required similarity have their
+intersection in common, and the smallest set there is near to both, so the
+components are exact.
+
 Where a bucket at the base depth is dense, members are first compared under a
 longer prefix, in blocks that differ from tree to tree; the links verified there
 label them, and on climbing back to the base depth a dense bucket of one label is
@@ -34,6 +43,8 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +58,7 @@ from .components import components
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHINGLE, BITS = 5, 256
+_SHORT = 14  # sets of at most so many shingles are compared by their subsets
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03], np.uint64)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
@@ -106,12 +118,56 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _agreement_of(common: int, x: int, y: int) -> float:
+    """Chance that a bit agrees for sets of common + x and common + y hashes that share `common`; a tie of the hashes' bits gives 0."""
+
+    def at_least(n: int) -> list[float]:  # chance of k or more ones among n, for k up to n + 1
+        return [sum(math.comb(n, i) for i in range(max(k, 0), n + 1)) / 2**n for k in range(n + 2)]
+
+    tails = at_least(x), at_least(y)
+    total = 0.0
+    for k in range(common + 1):
+        p, q = (t[min(max((common + n) // 2 + 1 - k, 0), n + 1)] for t, n in zip(tails, (x, y)))
+        total += math.comb(common, k) / 2**common * (p * q + (1 - p) * (1 - q))
+    return total
+
+
+@lru_cache
+def least_agreement(similarity: float) -> float:
+    """Least chance of agreement in a bit for pairs of this similarity of which the larger set is not short."""
+    least = agreement(similarity)
+    for either in range(_SHORT + 1, 4 * _SHORT):  # beyond, the chance approaches the limit from nearer than here
+        common = math.ceil(similarity * either - 1e-9)
+        for x in range((either - common) // 2 + 1):
+            if either - x > _SHORT:
+                least = min(least, _agreement_of(common, x, either - common - x))
+    return least
+
+
+def forest_recall(depth: int, trees: int, bound: int, p: float) -> float:
+    """Chance that a pair that agrees in a bit with chance p is within the bound and shares the prefix of a tree, a random choice of bits without repetition."""
+    total = 0.0
+    for off in range(bound + 1):
+        alike = math.prod((BITS - off - i) / (BITS - i) for i in range(depth))
+        total += math.comb(BITS, off) * (1 - p) ** off * p ** (BITS - off) * (1 - (1 - alike) ** trees)
+    return total
+
+
+@lru_cache
 def forest_shape(n: int, similarity: float, recall: float, bucket: int = 256) -> tuple[int, int, int]:
     """Base depth, number of trees, Hamming bound."""
-    p = agreement(similarity)
+    p = least_agreement(similarity)
     depth = min(32, max(6, round(math.log2(max(n, 1) / bucket)) if n > bucket else 6))
-    trees = math.ceil(math.log(1 - recall) / math.log(1 - p**depth))
-    bound = math.ceil(BITS * (1 - p) + 3.7 * math.sqrt(BITS * p * (1 - p)))
+    within, bound = p**BITS, 0
+    while 1 - within > (1 - recall) / 100:
+        bound += 1
+        within += math.comb(BITS, bound) * (1 - p) ** bound * p ** (BITS - bound)
+    few, trees = 0, 1
+    while forest_recall(depth, trees, bound, p) < recall:
+        few, trees = trees, 2 * trees
+    while trees - few > 1:
+        middle = (few + trees) // 2
+        few, trees = (few, middle) if forest_recall(depth, middle, bound, p) >= recall else (middle, trees)
     return depth, trees, bound
 
 
@@ -125,12 +181,60 @@ def permuted_prefixes(sims: np.ndarray, tree: int, depth: int) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        numbers, sims = [], []
+        numbers, sims, few = [], [], []
         for a, b in chunks([len(t) for t in texts], 4 << 20):
             for hashes in shingle_sets(texts[a:b]):
                 numbers.append(class_number(hashes) if len(hashes) else None)
                 sims.append(simhash(hashes).tobytes() if len(hashes) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(sims, pa.binary())], ["doc", "id", "sim"])
+                few.append(hashes.tobytes() if 0 < len(hashes) <= _SHORT else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(sims, pa.binary()), pa.array(few, pa.binary())], ["doc", "id", "sim", "few"])
+
+
+def subset_keys(sets: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, int]]:
+    """Keys of the subsets that sets of one size (rows) may share with a set of this similarity, and the size of the subsets."""
+    own = mix(sets ^ _SEEDS[0])
+    size = own.shape[1]
+    total = own.sum(1, dtype=np.uint64)[:, None]
+    for out in range(size - math.ceil(similarity * size - 1e-9) + 1):
+        which = np.array(list(combinations(range(size), out)), np.int64).reshape(math.comb(size, out), out)
+        with np.errstate(over="ignore"):
+            yield mix(total - own[:, which].sum(2, dtype=np.uint64) + mix(np.array([size - out], np.uint64))), size - out
+
+
+def _short_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all short sets of this similarity. classes: id, few (the hashes of a short set)."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sizes = np.array([len(x) // 8 for x in sets], np.int64)
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                for part in np.array_split(rows, len(rows) // 4096 + 1):
+                    same = np.frombuffer(b"".join(sets[i] for i in part), np.uint64).reshape(-1, size)
+                    for keys, common in subset_keys(same, similarity):
+                        n = keys.size
+                        columns = keys.ravel().view(np.int64), np.full(n, common, np.int32), np.full(n, size, np.int32), np.repeat(ids[part], keys.shape[1])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "common", "size", "id"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows sorted by key, size and id: each is linked with the first of its key."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, common, size, own = (c.to_numpy() for c in batch.columns)
+            starts = np.append(True, np.diff(key) != 0)
+            first = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+            head, least = own[first], size[first]
+            if last and last[0] == key[0]:
+                head, least = np.where(first == 0, last[1], head), np.where(first == 0, last[2], least)
+            last = key[-1], head[-1], least[-1]
+            ok = (own != head) & (common >= similarity * (size + least - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(head[ok]), pa.array(own[ok])], ["a", "b"])
+
+    filed = classes.where("few is not null").select("id", "few").mapInArrow(file, "key long, common int, size int, id long")
+    return filed.repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(link, "a long, b long").distinct()
 
 
 def _filer(depth: int, trees: int, hot: dict[int, int], across: bool):
@@ -334,16 +438,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         raise ValueError("the forest is laid out for similarities of 0.8 or more")
     kind = docs.schema[doc_id].dataType
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = materialise(own.mapInArrow(_signatures, "doc long, id long, sim binary"), "simhash-signatures")
-    classes = signed.where("doc is not null and id is not null").groupBy("id").agg(F.min("doc").alias("doc"), F.first("sim").alias("sim"))
+    signed = materialise(own.mapInArrow(_signatures, "doc long, id long, sim binary, few binary"), "simhash-signatures")
+    classes = signed.where("doc is not null and id is not null").groupBy("id").agg(F.min("doc").alias("doc"), F.first("sim").alias("sim"), F.first("few").alias("few"))
     classes = materialise(classes, "simhash-classes")
-    n = classes.count()
+    # A set that is too short for any partner beyond the short ones is left out of the forest.
+    large = classes.where(F.col("few").isNull() | (F.octet_length("few") >= 8 * math.ceil(similarity * (_SHORT + 1) - 1e-9)))
+    n = large.count()
     depth, trees, bound = forest_shape(n, similarity, recall)
     texts = own.where("doc is not null and text is not null")
     limit = max(block, math.ceil(n * trees / 200_000))
-    members = classes.select("id", F.col("id").alias("label"), "sim")
+    members = large.select("id", F.col("id").alias("label"), "sim")
     hot = _hot_buckets(members, depth, trees, limit)
-    links: list[DataFrame] = []
+    links = [materialise(_short_links(classes, similarity), "simhash-links")]
 
     def all_links() -> DataFrame:
         out = links[0]
@@ -362,7 +468,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def labelled() -> DataFrame:
         of = components(all_links())
-        return materialise(classes.select("id", "sim").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "sim"), "simhash-labels")
+        return materialise(large.select("id", "sim").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "sim"), "simhash-labels")
 
     if hot and depth < 32:  # dense buckets: descend, label what is linked there, and climb back
         deeper = min(32, depth + 12)
