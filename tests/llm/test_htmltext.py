@@ -55,5 +55,17 @@ def test_hot_host_is_split(spark):
     assert all(got[i].endswith(f"text number {i} with words") for i in range(60)) and sum("Menu" in t for t in got.values()) < 10
 
 
+def test_neighbours_do_not_depend_on_the_size_of_the_host(spark):
+    """Directories with menus of their own, in any number of blocks; also a run of copies that is longer than a block."""
+    page = lambda d, i: f"<div>Menu of {d}</div><p>text number {d * 100 + i} with words</p>"
+    rows = [(d * 100 + i, f"http://h.org/d{d:02d}/{i:02d}", page(d, i)) for d in range(20) for i in range(3)]
+    long = "<div>Top menu of it</div><p>" + "one and the same long article " * 9 + "</p>"
+    rows += [(5000 + i, f"http://h.org/x/{i:03d}", long) for i in range(60)] + [(6000, "http://h.org/x/999", "<div>Top menu of it</div><p>quite another short text here</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    small, whole = ({r.page_id: r.text for r in extract_text(pages, block=b).collect()} for b in (7, 2000))
+    assert small == whole and len(small) == len(rows)
+    assert all(small[d * 100 + i] == f"text number {d * 100 + i} with words" for d in range(20) for i in range(3))
+
+
 def test_copies_do_not_blank_each_other():
     assert without_shared(["a" * 50, "b"], [["a" * 50, "c"], ["b", "x"]]) == ["a" * 50]

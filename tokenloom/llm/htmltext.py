@@ -15,9 +15,10 @@ The lines of marked articles are not compared: passages that several articles of
 a host share are text, and neighbours need not show the same menus, so that
 differencing alone would both delete text and leave furniture.
 
-Pages stream through tasks sorted by host and path; a host with more than its
-share of pages is cut into blocks by a hash of the path, and neighbours are then
-sought within the block. Three pages are held at a time.
+Pages are taken in the order of host, path, url and id, in blocks of neighbours
+cut at sampled pages whatever their host, and a block also gets the pages next to
+its ends. Where all of these are copies, the block is worked through again with
+more of them, so a page's neighbour does not depend on the size of its host.
 
 Defined cases: a null or empty page, or one without text, has an empty text; a
 page without a url, or alone on its host, is compared with nothing; pages that
@@ -29,7 +30,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -55,6 +58,7 @@ _ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|compleme
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _NEVER_OUT = frozenset(("html", "body", "article", "main"))
 _COPY = 0.8
+_POINTS = 20  # intervals of a block
 
 
 def page_lines(html: str) -> tuple[list[str], list[str], bool]:
@@ -180,60 +184,139 @@ def without_shared(lines: list[str], neighbours: list[list[str]]) -> list[str]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over page, url, host, path, html, homes: a row for each block that needs the page, its own first; the others need no article."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        rows = []
-        for html in batch.column(4):
+        out = []
+        for page, url, host, path, html, homes in zip(*(batch.column(i) if i == 4 else batch.column(i).to_pylist() for i in range(6))):
             main, other, marked = page_lines(html.as_py() or "")
-            rows.append((marked, *(pack.compress("\n".join(x).encode("utf-8", "surrogatepass")) for x in (main, other))))
-        packed = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.binary(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *packed], ["page", "url", "block", "path", "marked", "main", "other"])
+            packed = [pack.compress("\n".join(x).encode("utf-8", "surrogatepass")) for x in (main, other)]
+            for i, block in enumerate(homes):
+                out.append((block, i == 0, page, url, host, path, marked, packed[0] if i == 0 else None, packed[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_PARSED.values())], list(_PARSED))
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over pages sorted by block and path: page, url, text."""
-    unpack = zstandard.ZstdDecompressor()
-    before = now = None
+_PARSED = {"block": pa.int64(), "own": pa.bool_(), "page": pa.int64(), "url": pa.string(), "host": pa.string(), "path": pa.string(), "marked": pa.bool_(), "main": pa.binary(), "other": pa.binary()}
 
-    def lines(data: bytes) -> list[str]:
-        text = unpack.decompress(data).decode("utf-8", "surrogatepass")
-        return text.split("\n") if text else []
 
-    def finish(previous, row, following) -> tuple:
-        if row["marked"]:
-            return row["page"], row["url"], "\n\n".join(lines(row["main"]))
-        near = [x for x in (previous, following) if x and x["block"] == row["block"] and x["block"] is not None]
-        near.sort(key=lambda x: path_distance(row["path"], x["path"]))
-        return row["page"], row["url"], "\n\n".join(without_shared(lines(row["other"]), [lines(x["other"]) for x in near]))
+def _lines(data: bytes) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
 
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["page", "url", "text"])
 
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            if now:
-                rows.append(finish(before, now, row))
-            before, now = now, row
-        yield pack(rows)
-    if now:
-        yield pack([finish(before, now, None)])
+def _block_texts(rows: list[dict], first: bool, last: bool) -> Iterator[tuple[dict, str | None]]:
+    """Texts of the own pages of a block, None where the pages at hand do not tell. first, last: no page comes before or after them."""
+
+    def side(i: int, step: int, host: str):
+        """The pages from place i on; None at the end if more may follow."""
+        while 0 <= i < len(rows):
+            if rows[i]["host"] != host:
+                return
+            yield rows[i]
+            i += step
+        if not (first if i < 0 else last):
+            yield None
+
+    def text(i: int) -> str | None:
+        row = rows[i]
+        lines = _lines(row["other"])
+        if row["host"] is None:
+            return "\n\n".join(lines)
+        sides = side(i - 1, -1, row["host"]), side(i + 1, 1, row["host"])
+        ends = (row["path"], row["path"])
+        missing = object()
+        heads = [next(x, missing) for x in sides]
+        while lines:
+            if None in heads:
+                return None
+            near = [k for k in (0, 1) if heads[k] is not missing]
+            if not near:
+                break
+            k = min(near, key=lambda k: path_distance(ends[k], heads[k]["path"]))
+            kept = without_shared(lines, [_lines(heads[k]["other"])])
+            if kept is not lines:
+                return "\n\n".join(kept)
+            heads[k] = next(sides[k], missing)
+        return "\n\n".join(lines)
+
+    for i, row in enumerate(rows):
+        if row["own"]:
+            yield row, "\n\n".join(_lines(row["main"])) if row["marked"] else text(i)
+
+
+def _differ(blocks: int, per: int, halo: int):
+    """Over rows sorted by block and page: block, page, url, text (null if more neighbours are needed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish() -> pa.RecordBatch:
+            block = rows[0]["block"]
+            out = [(block, r["page"], r["url"], t) for r, t in _block_texts(rows, block * per - halo <= 0, (block + 1) * per + halo >= blocks * per)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["block", "page", "url", "text"])
+
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and row["block"] != rows[0]["block"]:
+                    yield finish()
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield finish()
+
+    return run
+
+
+def _homes(points: list[tuple], per: int, halo: int, targets: frozenset[int] | None):
+    """Adds to page, url, host, path, html the blocks that need the page: its own, then those of which it is at most `halo` intervals of points away."""
+    blocks = len(points) // per + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            homes = []
+            for page, url, host, path in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if host is None:
+                    homes.append([-1 - (page or 0) % 1000] if targets is None else [])
+                    continue
+                at = bisect_right(points, _key(host, path, url, page))
+                own = at // per
+                near = range(max(0, (at - halo) // per), min(blocks - 1, (at + halo) // per) + 1)
+                # A block that is not the page's own is told apart by its place: the own one comes first.
+                homes.append([own, *(b for b in near if b != own)])
+            part = pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes, pa.list_(pa.int64()))], [*batch.schema.names, "homes"])
+            yield part.filter(pa.array([bool(h) and (targets is None or not targets.isdisjoint(h)) for h in homes], pa.bool_()))
+
+    return run, blocks
+
+
+def _key(host: str, path: str, url: str, page: int | None) -> tuple:
+    return host, path, url, page is not None, page or 0
 
 
 def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", block: int = 2000) -> DataFrame:
-    """page_id, url and text of every page."""
+    """page_id, url and text of every page. block: pages that are worked through together, more if there are over 10,000 times as many."""
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     own = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
-    n = own.count()
-    limit = max(block, math.ceil(n / 10_000))  # so at most 10,000 hosts have more pages than this
-    hot = own.where("host is not null").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") > limit)
-    hot = hot.select(F.col("host").alias("host_"), F.ceil(F.col("pages") / limit).alias("blocks"))
-    placed = own.join(F.broadcast(hot), own["host"] == hot["host_"], "left")
-    name = F.concat_ws(" ", "host", F.pmod(F.xxhash64("path"), F.coalesce("blocks", F.lit(1))).cast("string"))
-    placed = placed.select("page", "url", F.when(F.col("host").isNotNull(), name).alias("block"), "path", "html")
-    parsed = placed.mapInArrow(_parse, "page long, url string, block string, path string, marked boolean, main binary, other binary")
-    # Pages without a host need not be together.
-    spread = F.when(F.col("block").isNull(), F.xxhash64("page")).otherwise(F.xxhash64("block"))
-    sorted_ = parsed.repartition(spread).sortWithinPartitions("block", "path", "url", "page")
-    return sorted_.mapInArrow(_difference, "page long, url string, text string").select(F.col("page").cast(pages.schema[page_id].dataType).alias(page_id), F.col("url").alias(url), "text")
+    keys = own.where("host is not null").select("host", "path", "url", "page")
+    n = keys.count()
+    limit = max(block, math.ceil(n / 10_000))
+    per = min(_POINTS, limit)
+    sampled = keys if n <= limit else keys.where(F.pmod(F.xxhash64("url", "page"), F.lit(max(1, limit // per))) == 0)
+    points = sorted({_key(r.host, r.path, r.url, r.page) for r in sampled.toLocalIterator()}) if n > limit else []
+    done, targets, halo = [], None, 1
+    while True:
+        place, blocks = _homes(points, per, halo, targets)
+        parsed = own.mapInArrow(lambda batches, place=place: _parse(place(batches)), "block long, own boolean, page long, url string, host string, path string, marked boolean, main binary, other binary")
+        if targets is not None:
+            parsed = parsed.where(F.col("block").isin(sorted(targets)))
+        sorted_ = parsed.repartition("block").sortWithinPartitions("block", "host", "path", "url", "page")
+        out = materialise(sorted_.mapInArrow(_differ(blocks, per, halo), "block long, page long, url string, text string"), "htmltext")
+        open_ = frozenset(r.block for r in out.where("text is null").select("block").distinct().toLocalIterator())
+        done.append(out.where(~F.col("block").isin(sorted(open_))) if open_ else out)
+        if not open_:
+            break
+        targets, halo = open_, 8 * halo  # a run of copies reaches beyond the pages at hand
+    found = done[0]
+    for x in done[1:]:
+        found = found.union(x)
+    return found.select(F.col("page").cast(pages.schema[page_id].dataType).alias(page_id), F.col("url").alias(url), "text")
