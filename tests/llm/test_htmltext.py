@@ -69,3 +69,24 @@ def test_neighbours_do_not_depend_on_the_size_of_the_host(spark):
 
 def test_copies_do_not_blank_each_other():
     assert without_shared(["a" * 50, "b"], [["a" * 50, "c"], ["b", "x"]]) == ["a" * 50]
+
+
+def test_short_articles_among_much_furniture(spark):
+    menu = [f"An entry number {i} of the long menu of the site" for i in range(12)]
+    texts = ["rain is due on the coast tonight", "seven goals fell in one match", "prices of bread rose again slightly"]
+    assert without_shared([*menu, texts[0]], [[*menu, texts[1]]]) == [texts[0]]
+    article = "the council met on monday to talk about the new bridge over the river and its cost"
+    assert without_shared([*menu, article], [[*menu, article.replace("monday", "tuesday")], menu]) == [*menu, article]  # an edit, and a trace
+    rows = [(i, f"http://h.org/{i}", "".join(f"<div>{x}</div>" for x in [*menu, t])) for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == texts
+
+
+def test_equal_pages_have_equal_texts(spark):
+    """Three copies and a repeated row between pages that share different lines with them."""
+    text = "one and the same long article that stands on several pages of this host"
+    copy = f"<div>Left menu</div><p>{text}</p><div>Right menu</div>"
+    rows = [(0, "http://h.org/a/0", "<div>Left menu</div><p>some other text on the left</p>"), (9, "http://h.org/a/9", "<p>some other text on the right</p><div>Right menu</div>")]
+    rows += [(i, f"http://h.org/a/{i}", copy) for i in (3, 4, 4, 5)]
+    got = [r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() if r.page_id in (3, 4, 5)]
+    assert len(got) == 4 and set(got) == {f"{text}\n\nRight menu"}

@@ -9,7 +9,10 @@ role=main), those lines are its text. All other lines are compared with those of
 the page with the nearest path on the same host: the two are aligned by their
 longest common subsequence, and lines that both share are deleted. A neighbour
 that shares nearly all its text is a copy of the page and tells nothing about
-furniture, so the next nearest is taken then.
+furniture, so the next nearest is taken then; but where both pages have text of
+their own left over (a few words at least, and most of them other words), what
+they share is furniture, however much of it there is. Pages next to each other
+with the same lines count as one, and have the same text.
 
 The lines of marked articles are not compared: passages that several articles of
 a host share are text, and neighbours need not show the same menus, so that
@@ -22,7 +25,7 @@ more of them, so a page's neighbour does not depend on the size of its host.
 
 Defined cases: a null or empty page, or one without text, has an empty text; a
 page without a url, or alone on its host, is compared with nothing; pages that
-tie in path are ordered by url and id; repeated pages count as copies.
+tie in path are ordered by url and id; repeated pages count as one.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import html as entities
 import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +62,7 @@ _ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|compleme
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _NEVER_OUT = frozenset(("html", "body", "article", "main"))
 _COPY = 0.8
+_FEW_WORDS = 5
 _POINTS = 20  # intervals of a block
 
 
@@ -172,14 +177,21 @@ def path_distance(a: str, b: str) -> tuple[int, int]:
     return -segments, -chars
 
 
+def _differ_in_text(own: list[str], others: list[str]) -> bool:
+    """Whether the lines left over of two pages are texts of their own, not traces or edits of one text."""
+    a, b = (Counter(" ".join(x).lower().split()) for x in (own, others))
+    return min(a.total(), b.total()) >= _FEW_WORDS and 2 * (a & b).total() <= max(a.total(), b.total())
+
+
 def without_shared(lines: list[str], neighbours: list[list[str]]) -> list[str]:
     """lines without those shared with the first neighbour that is not a copy."""
     size = sum(map(len, lines))
     for other in neighbours:
         shared = common_lines(lines, other)
-        if size and sum(len(lines[i]) for i in shared) < _COPY * size:
-            gone = set(shared)
-            return [x for i, x in enumerate(lines) if i not in gone]
+        gone = set(shared)
+        own = [x for i, x in enumerate(lines) if i not in gone]
+        if size and (sum(len(lines[i]) for i in shared) < _COPY * size or _differ_in_text(own, list((Counter(other) - Counter(lines[i] for i in shared)).elements()))):
+            return own
     return lines
 
 
@@ -222,8 +234,13 @@ def _block_texts(rows: list[dict], first: bool, last: bool) -> Iterator[tuple[di
         lines = _lines(row["other"])
         if row["host"] is None:
             return "\n\n".join(lines)
-        sides = side(i - 1, -1, row["host"]), side(i + 1, 1, row["host"])
-        ends = (row["path"], row["path"])
+        start = end = i  # pages with the same lines count as one
+        while start and rows[start - 1]["host"] == row["host"] and rows[start - 1]["other"] == row["other"]:
+            start -= 1
+        while end + 1 < len(rows) and rows[end + 1]["host"] == row["host"] and rows[end + 1]["other"] == row["other"]:
+            end += 1
+        sides = side(start - 1, -1, row["host"]), side(end + 1, 1, row["host"])
+        ends = (rows[start]["path"], rows[end]["path"])
         missing = object()
         heads = [next(x, missing) for x in sides]
         while lines:
@@ -239,9 +256,16 @@ def _block_texts(rows: list[dict], first: bool, last: bool) -> Iterator[tuple[di
             heads[k] = next(sides[k], missing)
         return "\n\n".join(lines)
 
+    before = None
     for i, row in enumerate(rows):
         if row["own"]:
-            yield row, "\n\n".join(_lines(row["main"])) if row["marked"] else text(i)
+            if row["marked"]:
+                yield row, "\n\n".join(_lines(row["main"]))
+                continue
+            if not (i and before == i - 1 and row["host"] is not None and rows[i - 1]["host"] == row["host"] and rows[i - 1]["other"] == row["other"]):
+                same = text(i)
+            before = i
+            yield row, same
 
 
 def _differ(blocks: int, per: int, halo: int):
