@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tokenloom.llm.q_simhash import op8_simhash
-from tokenloom.llm.simhash import agreement, forest_shape, keep_one, near_duplicates, shingle_sets, simhash
+from tokenloom.llm.simhash import agreement, close_pairs, forest_shape, keep_one, near_duplicates, shingle_sets, simhash
 
 
 def brute(rows):
@@ -111,6 +111,18 @@ def test_short_documents_are_found_without_exception(spark):
     assert all(c == d - d % 2 for d, c in run(spark.createDataFrame(pairs, "doc_id long, text string")))
 
 
+def test_left_out_partners_are_named():
+    """Class 4 is near to 1, 2 and 3, which are far from each other: with two partners at most, 3 has no pair and must be known to the last round."""
+    rows = np.zeros(4, [("id", "<i8"), ("label", "<i8"), ("block", "<i4"), ("sim", "V32")])
+    rows["id"] = rows["label"] = [1, 2, 3, 4]
+    sims = np.zeros((4, 32), np.uint8)
+    for i in range(3):
+        sims[i, 5 * i : 5 * i + 5] = 255
+    rows["sim"] = np.frombuffer(sims.tobytes(), "V32")
+    a, b, left = close_pairs(rows, 64, 2)
+    assert a.tolist() == [1, 2] and b.tolist() == [4, 4] and left.tolist() == [3, 4]
+
+
 def test_odd_documents(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert run(odd) == brute(rows)

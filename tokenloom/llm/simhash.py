@@ -281,15 +281,15 @@ def _filer(depth: int, trees: int, hot: dict[int, int], across: bool):
     return run, member
 
 
-def close_pairs(rows: np.ndarray, bound: int, near: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Ids of pairs of different labels within the Hamming bound; each id meets the `near` smallest such ids below it. True: pairs were left out."""
+def close_pairs(rows: np.ndarray, bound: int, near: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of pairs of different labels within the Hamming bound, each id with the `near` smallest such ids below it; and the ids of pairs left out so."""
     rows = rows[np.argsort(rows["id"], kind="stable")]
     if len(rows) < 2 or (rows["label"] == rows["label"][0]).all():
-        return np.empty(0, np.int64), np.empty(0, np.int64), False
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     sims, label, block = rows["sim"].copy().view(np.uint64).reshape(len(rows), -1), rows["label"], rows["block"]
     across = (block != block[0]).any()
     step = max(1, (1 << 20) // len(rows))
-    a, b, more = [], [], False
+    a, b, left = [], [], [np.empty(0, np.int64)]
     for i in range(1, len(rows), step):
         j = min(len(rows), i + step)
         off = np.bitwise_count(sims[i:j, None, 0] ^ sims[None, : j - 1, 0]).astype(np.int16)
@@ -304,24 +304,22 @@ def close_pairs(rows: np.ndarray, bound: int, near: int | None) -> tuple[np.ndar
         if near is not None and len(y):
             first = np.searchsorted(y, y)
             ok = np.arange(len(y)) - first < near
-            more |= not ok.all()
+            left.append(np.unique(rows["id"][np.concatenate([x[~ok], y[~ok]])]))
             y, x = y[ok], x[ok]
         a.append(rows["id"][x])
         b.append(rows["id"][y])
-    return np.concatenate(a), np.concatenate(b), bool(more)
+    return np.concatenate(a), np.concatenate(b), np.unique(np.concatenate(left))
 
 
 def _matcher(member: np.dtype, bound: int, near: int | None):
-    """Over rows sorted by bucket and pair: candidate pairs (a, b); a row with a null b says that pairs were left out."""
+    """Over rows sorted by bucket and pair: candidate pairs (a, b); a row with a null b names a class of a pair that was left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list[bytes]) -> None:
-            nonlocal more
-            a, b, some = close_pairs(np.frombuffer(b"".join(parts), member), bound, near)
-            found_a.append(a), found_b.append(b)
-            more |= some
+            a, b, left = close_pairs(np.frombuffer(b"".join(parts), member), bound, near)
+            found_a.append(pa.array(np.concatenate([a, left]))), found_b.append(pa.concat_arrays([pa.array(b), pa.nulls(len(left), pa.int64())]))
 
-        now, parts, more, found_a, found_b = None, [], False, [], []
+        now, parts, found_a, found_b = None, [], [], []
         for batch in batches:
             for bucket, pair, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bucket, pair) != now:
@@ -330,11 +328,11 @@ def _matcher(member: np.dtype, bound: int, near: int | None):
                     now, parts = (bucket, pair), []
                 parts.append(data)
             if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(found_a), pa.concat_arrays(found_b)], ["a", "b"])
                 found_a, found_b = [], []
         if parts:
             emit(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found_a, [0] * more]).astype(np.int64)), pa.array([*np.concatenate([*found_b, []]).astype(np.int64).tolist(), *[None] * more], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(found_a), pa.concat_arrays(found_b)], ["a", "b"])
 
     return run
 
@@ -458,13 +456,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         return out
 
     def compare(members: DataFrame, depth: int, near: int | None, hot: dict[int, int], across: bool = True) -> tuple[DataFrame, bool]:
-        """Pair members (id, label, sim) under one depth and keep the verified links. The ids that had a partner; whether pairs were left out."""
+        """Pair members (id, label, sim) under one depth and keep the verified links. The ids that had a partner, left out or not; whether pairs were left out."""
         found = _candidates(members, depth, trees, bound, near, hot, across)
-        pairs, more = found.where("b is not null"), bool(found.where("b is null").head(1))
+        pairs, left = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("id"))
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = _sets_of(texts, classes.join(ids, "id", "left_semi").select("doc")).join(ids, "id", "left_semi").dropDuplicates(["id"])
         links.append(materialise(_verified(pairs, sets, similarity), "simhash-links"))
-        return ids, more
+        return ids.union(left).distinct(), bool(left.head(1))
 
     def labelled() -> DataFrame:
         of = components(all_links())
