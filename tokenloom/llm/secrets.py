@@ -54,7 +54,8 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{32,}"),  # the runs of [0-9a-f]+ that have 32 characters or more
 )
 EXTRA_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # The BEGIN line, header fields, the base64 body as far as it goes, and the END line if there is one.
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s+[A-Z][A-Za-z-]+:[^\n]*)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{16,}={0,2})*(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?(?:(?:\s|\\[nr])*(?:[A-Za-z0-9+/]{1,15}={0,2}(?:\s|\\[nr])*)?-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
