@@ -9,20 +9,26 @@ features, and one ridge regression per language (one versus rest, +1 and -1) is
 fitted on these. Scoring multiplies, per batch, the matrix of n-gram presence
 with that of the landmarks, and the kernel values with the folded weights.
 
-Letters beyond the `alphabet` most frequent of the sample share one symbol, so an
-n-gram is an exact index into a small cube and nothing is hashed.
+An n-gram is the code points of its letters packed into one 64-bit number, so
+nothing is hashed and no letters of any script are merged; the landmarks' n-grams,
+sorted, are the columns of the matrices.
 
 Defined cases: a null text and a text without a letter are `und` with score 0; a
 null lang or null id is never learned from; without any labelled text every
 prediction is `und`; one label alone is predicted for every text with a letter.
 The score is the softmax of the regressions' outputs for the predicted language.
-Ties go to the language first by code point.
+Ties go to the language first by code point. Of rows that repeat an id and a
+label one is learned from, that with the least text; every row gets a prediction.
+Texts of any length are read whole, in training too. An empty table gives no
+rows. Columns of docs keep their names and order; the column that is added takes
+a name that none of them has.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,116 +40,97 @@ from pyspark.sql import Window as W
 from .common import chunks, free_name, materialise
 
 UND = "und"
+_LEAST_LANDMARKS = 4  # of a label, however many labels there are
 _SHARPNESS = 4.0
-_BMP = 1 << 16
+_POINTS = 0x110000
+_BITS = 21  # of a code point
+_SPACE = 1  # stands for a run of anything but letters; no letter has this code point
+_CELLS = 1 << 23  # of a matrix of n-gram presence
 
 
+@lru_cache(1)
 def _letter_table() -> np.ndarray:
-    """For code points below 2**16: the lower-case letter, or 0 for anything but a letter."""
-    table = np.zeros(_BMP, np.uint16)
-    for c in range(_BMP):
+    """For every code point: the lower-case letter, or 0 for anything but a letter."""
+    table = np.zeros(_POINTS, np.uint32)
+    for c in range(_POINTS):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
-            table[c] = ord(low) if len(low) == 1 and ord(low) < _BMP else c
+            table[c] = ord(low) if len(low) == 1 else c
     return table
 
 
-_LETTERS: list[np.ndarray] = []
+def letters(text: str) -> np.ndarray:
+    """Lower-case letters of a text as code points, 0 for other characters."""
+    return _letter_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
-def letters(text: str) -> np.ndarray:
-    """Lower-case letters of a text, 0 for other characters, _BMP for letters beyond 2**16."""
-    if not _LETTERS:
-        _LETTERS.append(_letter_table())
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = _LETTERS[0][np.minimum(points, _BMP - 1)].astype(np.uint32)
-    for i in np.flatnonzero(points >= _BMP - 1).tolist():
-        out[i] = _BMP if chr(points[i]).isalpha() else 0
-    return out
-
-
-class Presence:
-    """Distinct n-grams of texts as indices into one range of size `width`."""
-
-    def __init__(self, alphabet: list[int]):
-        self.a = len(alphabet) + 2  # 0: space, 1: other letters
-        self.symbol = np.ones(_BMP + 1, np.uint8)
-        self.symbol[0] = 0
-        self.symbol[alphabet] = np.arange(2, self.a)
-        self.width = self.a + self.a**2 + self.a**3
-        self.last = np.zeros(self.width, np.int32)
-
-    def of(self, text: str) -> np.ndarray:
-        found = letters(text)
-        if not found.any():
-            return np.empty(0, np.int32)
-        s = self.symbol[found]
-        s = s[(s > 0) | np.append(False, s[:-1] > 0)]  # one space for a run, none at the start
-        s = np.concatenate([[0], s, [0][: int(s[-1] > 0)]]).astype(np.int32)
-        two = s[:-1] * self.a + s[1:]
-        grams = np.concatenate([s, self.a + two, self.a + self.a**2 + two[:-1] * self.a + s[2:]])
-        # The last place that names a gram stands for it: no sorting, and nothing to reset.
-        place = np.arange(len(grams), dtype=np.int32)
-        self.last[grams] = place
-        return grams[self.last[grams] == place]
+def grams_of(text: str) -> np.ndarray:
+    """Distinct n-grams of a text, sorted: the code points of one to three symbols packed into one number each."""
+    found = letters(text)
+    if not found.any():
+        return np.empty(0, np.int64)
+    s = np.where(found > 0, found, _SPACE).astype(np.int64)
+    s = s[(found > 0) | np.append(False, found[:-1] > 0)]  # one space for a run, none at the start
+    s = np.concatenate([[_SPACE], s, [_SPACE][: int(s[-1] != _SPACE)]]).astype(np.int64)
+    two = (s[:-1] << _BITS) | s[1:]
+    grams = np.sort(np.concatenate([s, two, (two[:-1] << _BITS) | s[2:]]))
+    return grams[np.append(True, grams[1:] != grams[:-1])]
 
 
 class Model:
-    def __init__(self, texts: list[tuple[str, str]], *, landmarks: int, alphabet: int, ridge: float):
-        """texts: (text, label), in an order that does not depend on the partitioning."""
-        counts: Counter[int] = Counter()
-        for text, _ in texts:
-            found, n = np.unique(letters(text), return_counts=True)
-            counts.update(dict(zip(found.tolist(), n.tolist())))
-        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if 0 < c < _BMP][:alphabet]
-        self.presence = Presence(known)
-        grams = [(self.presence.of(text), label) for text, label in texts]
-        grams = [x for x in grams if len(x[0])]
-        self.labels = sorted({label for _, label in grams})
+    def __init__(self, samples: list[tuple[np.ndarray, str]], *, landmarks: int, ridge: float):
+        """samples: (n-grams, label), in an order that does not depend on the partitioning."""
+        samples = [x for x in samples if len(x[0])]
+        self.labels = sorted({label for _, label in samples})
         if not self.labels:
             return
-        per = max(1, landmarks // len(self.labels))
+        per = max(_LEAST_LANDMARKS, landmarks // len(self.labels))
         seen: Counter[str] = Counter()
         chosen = []
-        for g, label in grams:
+        for g, label in samples:
             if seen[label] < per:
                 chosen.append(g)
                 seen[label] += 1
-        columns = np.unique(np.concatenate(chosen))
-        self.column = np.full(self.presence.width, -1, np.int32)
-        self.column[columns] = np.arange(len(columns))
-        self.marks = np.zeros((len(columns), len(chosen)), np.float32)
+        self.columns = np.unique(np.concatenate(chosen))
+        self.marks = np.zeros((len(self.columns), len(chosen)), np.float32)
         for j, g in enumerate(chosen):
-            self.marks[self.column[g], j] = 1 / np.sqrt(len(g))
+            self.marks[np.searchsorted(self.columns, g), j] = 1 / np.sqrt(len(g))
         between = self.kernel(chosen).astype(np.float64)
         values, vectors = np.linalg.eigh((between + between.T) / 2)
         keep = values > 1e-6 * values[-1]
         self.root = vectors[:, keep] / np.sqrt(values[keep])
-        phi = self.kernel([g for g, _ in grams]).astype(np.float64) @ self.root
+        phi = self.kernel([g for g, _ in samples]).astype(np.float64) @ self.root
         phi = np.hstack([phi, np.ones((len(phi), 1))])
-        y = np.where(np.array([label for _, label in grams])[:, None] == np.array(self.labels)[None, :], 1.0, -1.0)
+        y = np.where(np.array([label for _, label in samples])[:, None] == np.array(self.labels)[None, :], 1.0, -1.0)
         weights = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ y)
         self.weights, self.bias = (self.root @ weights[:-1]).astype(np.float32), weights[-1].astype(np.float32)
 
     def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
         """Normalised kernel of each n-gram set with each landmark."""
         out = np.empty((len(grams), self.marks.shape[1]), np.float32)
-        for a in range(0, len(grams), 256):
-            part = grams[a : a + 256]
-            x = np.zeros((len(part), len(self.marks)), np.float32)
-            for i, g in enumerate(part):
-                at = self.column[g]
-                x[i, at[at >= 0]] = 1 / np.sqrt(len(g))
+        step = min(256, max(1, _CELLS // len(self.columns)))
+        for a in range(0, len(grams), step):
+            part = grams[a : a + step]
+            flat = np.concatenate(part)
+            row = np.repeat(np.arange(len(part)), [len(g) for g in part])
+            at = np.minimum(np.searchsorted(self.columns, flat), len(self.columns) - 1)
+            known = self.columns[at] == flat
+            x = np.zeros((len(part), len(self.columns)), np.float32)
+            x[row[known], at[known]] = np.repeat(np.array([1 / np.sqrt(max(1, len(g))) for g in part], np.float32), [len(g) for g in part])[known]
             out[a : a + len(part)] = x @ self.marks
         return out
 
+    def decide(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Outputs of the regressions, one per label, for n-gram sets that are not empty."""
+        return (self.kernel(grams) @ self.weights + self.bias).astype(np.float64)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        grams = [self.presence.of(t) if t else np.empty(0, np.int32) for t in texts]
+        grams = [grams_of(t) if t else np.empty(0, np.int64) for t in texts]
         rows = np.array([i for i, g in enumerate(grams) if len(g)], int)
         labels, scores = [UND] * len(texts), np.zeros(len(texts))
         if self.labels and len(rows):
-            f = (self.kernel([grams[i] for i in rows]) @ self.weights + self.bias).astype(np.float64)
+            f = self.decide([grams[i] for i in rows])
             best = f.argmax(1)
             e = np.exp(_SHARPNESS * (f - f.max(1, keepdims=True)))
             scores[rows] = e[np.arange(len(rows)), best] / e.sum(1)
@@ -152,26 +139,55 @@ class Model:
         return labels, scores
 
 
-def train(docs: DataFrame, learn: Column, *, doc_id: str, text: str, label: str, per_label: int, landmarks: int, alphabet: int, ridge: float, long_text: int = 50_000) -> Model:
-    """Fit on at most per_label texts of each label, those with the smallest hash of their id.
+def sample_rows(docs: DataFrame, learn: Column, *, doc_id: str, text: str, label: str, per_label: int) -> DataFrame:
+    """(at_, label_, text_): for each label one text of each of the per_label distinct ids with the smallest hashes.
 
-    Texts of over long_text characters come last in that order, so the sample
-    stays small unless a label has no others.
+    Tasks pass on at most per_label ids a label; of an id that repeats, the least
+    text counts, found by partial aggregation.
     """
     usable = learn & F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(doc_id).isNotNull()
     key = F.xxhash64(F.col(doc_id).cast("string"), F.lit("langid"))
-    rows = docs.where(usable).select(F.col(doc_id).cast("string").alias("id_"), F.col(label).alias("label_"), (F.char_length(text) > long_text).alias("long_"), key.alias("key_"))
-    order = W.partitionBy("label_").orderBy("long_", "key_", "id_")
-    chosen = rows.withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= per_label).select("id_", "label_", "at_")
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, list[tuple[int, str]]] = {}
+        for batch in batches:
+            keys, labels = batch.column(2).to_numpy(), batch.column(1).dictionary_encode()
+            which, names = labels.indices.to_numpy(), labels.dictionary.to_pylist()
+            for k, name in enumerate(names):
+                at = np.flatnonzero(which == k)
+                have = best.get(name, [])
+                if len(have) == per_label:
+                    at = at[keys[at] <= have[-1][0]]
+                if len(at):
+                    best[name] = sorted({*have, *zip(keys[at].tolist(), batch.column(0).take(pa.array(at)).to_pylist())})[:per_label]
+        rows = [(i, name, k) for name, x in best.items() for k, i in x]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["id_", "label_", "key_"])
+
+    rows = docs.where(usable).select(F.col(doc_id).cast("string").alias("id_"), F.col(label).cast("string").alias("label_"), key.alias("key_"))
+    order = W.partitionBy("label_").orderBy("key_", "id_")
+    few = rows.mapInArrow(smallest, "id_ string, label_ string, key_ long").distinct()
+    chosen = few.withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= per_label).select("id_", "label_", "at_")
     chosen = materialise(chosen, "langid-sample")  # per_label ids a label: small enough for a broadcast unless labels are many
-    texts = docs.where(usable).select(F.col(doc_id).cast("string").alias("id_"), F.col(label).alias("label_"), F.col(text).alias("text_"))
-    sample = texts.join(chosen, ["id_", "label_"]).orderBy("at_", "label_", "text_")
-    return Model([(r.text_, r.label_) for r in sample.toLocalIterator()], landmarks=landmarks, alphabet=alphabet, ridge=ridge)
+    texts = docs.where(usable).select(F.col(doc_id).cast("string").alias("id_"), F.col(label).cast("string").alias("label_"), F.col(text).alias("text_"))
+    return texts.join(chosen, ["id_", "label_"]).groupBy("at_", "label_").agg(F.min("text_").alias("text_"))
+
+
+def train(docs: DataFrame, learn: Column, *, doc_id: str, text: str, label: str, per_label: int, landmarks: int, ridge: float) -> Model:
+    """Fit on sample_rows(); only the n-gram sets of the texts reach the driver, which do not grow with the texts' lengths for long."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([grams_of(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["at_", "label_", "grams_"])
+
+    sample = sample_rows(docs, learn, doc_id=doc_id, text=text, label=label, per_label=per_label)
+    found = sample.mapInArrow(sets, "at_ int, label_ string, grams_ binary").collect()
+    found = sorted((r.at_, r.label_, bytes(r.grams_)) for r in found)
+    return Model([(np.frombuffer(g, np.int64), name) for _, name, g in found], landmarks=landmarks, ridge=ridge)
 
 
-def identify(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, landmarks: int = 96, alphabet: int = 94, ridge: float = 1e-2) -> tuple[DataFrame, str]:
+def identify(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, landmarks: int = 96, ridge: float = 1e-2) -> tuple[DataFrame, str]:
     """docs with one struct column (lang, score) and that column's name. learn: the rows that may be learned from."""
-    model = train(docs, learn, doc_id=doc_id, text=text, label=label, per_label=per_label, landmarks=landmarks, alphabet=alphabet, ridge=ridge)
+    model = train(docs, learn, doc_id=doc_id, text=text, label=label, per_label=per_label, landmarks=landmarks, ridge=ridge)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x their n-grams, whatever the size of docs
     name, at = free_name(docs, "language"), docs.columns.index(text)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
