@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.llm import lm
@@ -16,39 +17,57 @@ def words(text):
     return (text or "").encode().lower().split() + [b"</>"]
 
 
-def by_hand(texts, role, weights):
+def by_hand(texts, role, weights, order=2):
     """Base and model score of each text. role: True learns; weights by bucket."""
-    c, pairs = Counter(), defaultdict(Counter)
-    starts = 0
+    grams = [Counter() for _ in range(order)]
+    contexts = [Counter() for _ in range(order)]
     for t, r in zip(texts, role):
         if r:
-            ws = words(t)
-            c.update(ws)
-            starts += 1
-            for h, w in zip([None, *ws], ws):
-                pairs[h][w] += 1
+            for k, h, w in ngrams(words(t), order):
+                grams[k - 1][h, w] += 1
+                contexts[k - 1][h] += 1
+    c = Counter({w: x for (_, w), x in grams[0].items()})
     n, v = sum(c.values()), len(c)
     out = []
     for t in texts:
         ws = words(t)
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
-        score = 0.0
-        for h, w in zip([None, *ws], ws):
-            ctx = starts if h is None else c[h]
-            a, u, z = weights[int(lm.bucket_of(np.array([ctx]))[0])]
-            score += math.log10(a * (pairs[h][w] / ctx if ctx else 0) + u * (c[w] / max(n, 1)) + z / (v + 1))
+        score = sum(math.log10(weights[b] @ e) for b, e in events(ws, grams, contexts, n, v, order))
         out.append((len(ws), sum(c[w] > 0 for w in ws), n, base, score))
     return out
 
 
-def test_scores_match_counting_by_hand(spark, sf_dir, monkeypatch):
+def ngrams(ws, order):
+    """(k, the k - 1 words before, word) for each word and k; a context ends at the start of the text."""
+    for i, w in enumerate(ws):
+        for k in range(1, order + 1):
+            yield k, (None, *ws[:i])[-(k - 1) :] if k > 1 else (), w
+
+
+def events(ws, grams, contexts, n, v, order):
+    """The bucket and the estimates of each word, the highest order first."""
+    at = list(ngrams(ws, order))
+    for i in range(len(ws)):
+        bucket, e = 0, [1 / (v + 1)]
+        for k, h, w in at[i * order : (i + 1) * order]:
+            seen = contexts[k - 1][h] if k > 1 else n
+            e.insert(0, grams[k - 1][h, w] / seen if seen else 0.0)
+            if k > 1 and seen:
+                bucket = (k - 2) * lm.BUCKETS + int(lm.bucket_of(np.array([seen]))[0])
+        yield bucket, np.array(e)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_match_counting_by_hand(spark, sf_dir, monkeypatch, order):
     learned = []
     learn = lm._learn
     monkeypatch.setattr(lm, "_learn", lambda *a: learned.append(learn(*a)) or learned[-1])
-    got = op4_lm(spark, sf_dir).toPandas().set_index("doc_id")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    remainder = fold(F.col("doc_id"), 7)
+    got = (op4_lm(spark, sf_dir) if order == 2 else lm.score(table, remainder != 2, remainder == 5, order=3).withColumn("held_out", remainder == 2)).toPandas().set_index("doc_id")
+    docs = table.toPandas()
     role = [zlib.crc32(str(i).encode()) % 7 != 2 for i in docs.doc_id]
-    for i, r, want in zip(docs.doc_id, role, by_hand(docs.text, role, learned[0])):
+    for i, r, want in zip(docs.doc_id, role, by_hand(docs.text, role, learned[0], order)):
         g = got.loc[i]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (not r, *want[:3])
         assert abs(g.base_score - want[3]) < 1e-6 * abs(want[3]) + 1e-9 and abs(g.score - want[4]) < 1e-6 * abs(want[4]) + 1e-9
@@ -57,36 +76,44 @@ def test_scores_match_counting_by_hand(spark, sf_dir, monkeypatch):
     assert np.allclose(learned[0].sum(1), 1) and (learned[0] > 0).all()
 
 
-def test_weights_follow_expectation_maximisation(spark):
-    rows = [(i, ("a b " * 5 if i % 3 else "c d c d ") + f"x{i}") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    own = docs.select(F.col("doc_id").alias("id"), "text")
-    back = F.col("id") % 4 == 0
-    batches = lm.materialise(lm.tokenise(own, F.when(back, 1).otherwise(0)), "t")
-    counts = lm.materialise(batches.mapInArrow(lm._parter(3), "kind int, part int, batch long, keys binary, counted binary, kept binary").groupBy("kind", "part").applyInArrow(lm._count_part, lm._COUNTS), "t")
-    t = counts.where("kind = 0").selectExpr("sum(some_tokens) n", "sum(some_distinct) v").first()
-    got = lm._learn(batches.where("hex(roles) like '%01%'"), counts, t.n, t.v, 45, 40)
-    c, pairs = Counter(), defaultdict(Counter)
-    for i, x in rows:
-        if i % 4:
-            ws = words(x)
-            c.update(ws)
-            for h, w in zip([None, *ws], ws):
-                pairs[h][w] += 1
-    assert (sum(c.values()), len(c)) == (t.n, t.v)
-    events = defaultdict(list)
-    for i, x in rows:
-        if i % 4 == 0:
-            ws = words(x)
-            for h, w in zip([None, *ws], ws):
-                ctx = 45 if h is None else c[h]
-                events[int(lm.bucket_of(np.array([ctx]))[0])].append((pairs[h][w] / ctx if ctx else 0.0, c[w] / t.n, 1 / (t.v + 1)))
-    for b, e in events.items():
-        e, w = np.array(e), np.full(3, 1 / 3)
-        for _ in range(400):
+@pytest.mark.parametrize("order", [2, 3])
+def test_weights_follow_expectation_maximisation(spark, sf_dir, monkeypatch, order):
+    """Against expectation maximisation over every single held-out event, to its end."""
+    learned = []
+    learn = lm._learn
+    monkeypatch.setattr(lm, "_learn", lambda *a: learned.append(learn(*a)) or learned[-1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    remainder = fold(F.col("doc_id"), 7)
+    lm.score(docs, remainder != 2, remainder == 5, order=order)
+    grams, contexts = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+    rows = [(zlib.crc32(str(r.doc_id).encode()) % 7, words(r.text)) for r in docs.collect()]
+    for x, ws in rows:
+        if x not in (2, 5):
+            for k, h, w in ngrams(ws, order):
+                grams[k - 1][h, w] += 1
+                contexts[k - 1][h] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    found = defaultdict(list)
+    for x, ws in rows:
+        if x == 5:
+            for b, e in events(ws, grams, contexts, n, v, order):
+                found[b].append(e)
+    assert len(found) > 5
+    for b, e in found.items():
+        e, w = np.array(e), np.full(order + 1, 1 / (order + 1))
+        for _ in range(3000):
             p = w * e
             w = (p / p.sum(1, keepdims=True)).mean(0)
-        assert np.abs(got[b] - w).max() < 0.02
+        assert np.abs(learned[0][b] - w).max() < 0.005
+
+
+def test_exchange_grows_with_the_corpus():
+    """Rows of the exchange are batches times parts: never more than the tokens over 64, from megabytes to petabytes, with batches that fit a task."""
+    for text_bytes in (10**9, 10**11, 10**12, 10**14, 10**15):
+        tokens = text_bytes // 6
+        batch, part = lm.exchange_shape(text_bytes, tokens)
+        assert math.ceil(text_bytes / batch) * math.ceil(tokens / part) <= 1.1 * tokens / 64
+        assert batch <= max(6 << 20, 20 * math.sqrt(text_bytes))
 
 
 def test_odd_documents(odd, none):
