@@ -37,6 +37,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def with_size(few: DataFrame, most: int = 200_000) -> DataFrame:
+    """A narrow written table, to be broadcast if it is counted and found to have at most so many rows; joined as it is otherwise."""
+    return F.broadcast(few) if few.limit(most + 1).count() <= most else few
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, or a variant of it that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -62,4 +67,4 @@ def chunks(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-__all__ = ["chunks", "discard", "fold", "free_name", "materialise", "scratch_dir", "scratch_path", "table", "texts"]
+__all__ = ["chunks", "discard", "fold", "free_name", "materialise", "scratch_dir", "scratch_path", "table", "texts", "with_size"]

@@ -19,28 +19,35 @@ smallest as far as sizes allow. Two sets of the required similarity have their
 intersection in common, and the smallest set there is near to both, so the
 components are exact.
 
-Where a bucket at the base depth is dense, members are first compared under a
-longer prefix, in blocks that differ from tree to tree; the links verified there
-label them, and on climbing back to the base depth a dense bucket of one label is
-left out and members of one label are not compared again. Dense buckets that
-still hold several labels are split into blocks, and all pairs of blocks are
-compared by separate tasks. From a bucket each class is paired with the `near` first
+Where a bucket has more than `block` members, whatever the size of the table, its
+members (and no others) descend by eight more bits at a time until their buckets
+are small, and are compared there first; the links verified there label them, and
+on climbing back, level by level to the base depth, a dense bucket of one label is
+left out and members of one label are not compared again. Dense buckets that still
+hold several labels are split into blocks, and all pairs of blocks are compared by
+separate tasks; which buckets are split is a table that the members are joined
+with. From a bucket each class is paired with the `near` first
 earlier ones within the Hamming bound; if any pair was left out so, a last round
 emits every remaining pair of different labels among the classes that had a
 partner, so that none is lost. Pairs are verified by the Jaccard similarity of
-the full sets, and verified pairs are joined into components.
+the full sets, a class with very many pairs in several places, and verified pairs
+are joined into components. Classes are told apart by 128 bits of their sets;
+shingles are 64-bit hashes.
 
 Defined cases: a null id or a text without words (null and empty included) is
 linked with nothing; a row with a null id has a null component and is kept. Rows
 that repeat an id are documents of their own: with the same text they share a
-component, and each of them is kept if it is that component's smallest id. Ids
-are integers.
+component, and each of them is kept if it is that component's smallest id. Ties in
+similarity do not matter, as every link counts. Texts of any length are read
+whole. An empty table gives no rows. Ids are integers. near_duplicates() looks at
+no other columns, whatever their names; keep_one() passes them on.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,7 +60,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import chunks, materialise, with_size
 from .components import components
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -62,7 +69,9 @@ _SHORT = 14  # sets of at most so many shingles are compared by their subsets
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03], np.uint64)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
-_SLOTS = 1 << 23
+_LEAST_SLOTS, _MOST_SLOTS = 23, 28  # bits of their number
+_STEP, _DEEPEST = 8, 48  # bits by which a dense bucket descends, and down to which depth
+_HUB = 1000  # pairs of a class that one task verifies
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,9 +117,9 @@ def simhash(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((2 * ones > len(hashes)).ravel())
 
 
-def class_number(hashes: np.ndarray) -> int:
-    """64-bit number of a set; classes are told apart by it."""
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes()))))
+def class_key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two numbers; classes are told apart by them."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(hashes.tobytes()))
 
 
 def agreement(similarity: float) -> float:
@@ -181,13 +190,13 @@ def permuted_prefixes(sims: np.ndarray, tree: int, depth: int) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        numbers, sims, few = [], [], []
+        keys, sims, few = [], [], []
         for a, b in chunks([len(t) for t in texts], 4 << 20):
             for hashes in shingle_sets(texts[a:b]):
-                numbers.append(class_number(hashes) if len(hashes) else None)
+                keys.append(class_key(hashes) if len(hashes) else (None, None))
                 sims.append(simhash(hashes).tobytes() if len(hashes) else None)
                 few.append(hashes.tobytes() if 0 < len(hashes) <= _SHORT else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(sims, pa.binary()), pa.array(few, pa.binary())], ["doc", "id", "sim", "few"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(sims, pa.binary()), pa.array(few, pa.binary())], ["doc", "h1", "h2", "sim", "few"])
 
 
 def subset_keys(sets: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, int]]:
@@ -237,48 +246,55 @@ def _short_links(classes: DataFrame, similarity: float) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(link, "a long, b long").distinct()
 
 
-def _filer(depth: int, trees: int, hot: dict[int, int], across: bool):
-    """Files (id, label, sim) under tree and prefix: rows (bucket, pair, data), data packing the members of a batch.
+_MEMBER = np.dtype([("id", "<i8"), ("label", "<i8"), ("block", "<i4"), ("sim", "V32")])
 
-    hot: number of blocks of buckets to be split, 0 for one to be left out; the
-    others have one block. across: pair every block with every other; otherwise
-    each block stays alone, and which one a member is in differs by tree.
-    """
-    member = np.dtype([("id", "<i8"), ("label", "<i8"), ("block", "<i4"), ("sim", "V32")])
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The order that sorts keys, and where each run of equal ones starts in it, with the end."""
+    order = np.argsort(keys, kind="stable")
+    return order, [*np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)).tolist(), len(keys)]
+
+
+def _filer(depth: int, trees: int):
+    """Files (id, label, sim) under tree and prefix: rows (bucket, data), data packing the members of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = np.array(sorted(hot), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = np.zeros(batch.num_rows, member)
+            own = np.zeros(batch.num_rows, _MEMBER)
             own["id"], own["label"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw = b"".join(batch.column(2).to_pylist())
             own["sim"] = np.frombuffer(raw, "V32")
             sims = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
-            buckets, pairs, data = [], [], []
+            buckets, data = [], []
             for tree in range(trees):
                 bucket = permuted_prefixes(sims, tree, depth) + (tree << depth)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.flatnonzero(np.append(np.diff(bucket[order]) != 0, True)) + 1
-                spread = mix(own["id"].astype(np.uint64) + np.uint64(tree))
-                is_hot = np.isin(bucket[order], split) if len(split) else np.zeros(len(order), bool)
-                for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
-                    name, rows = int(bucket[order[a]]), own[order[a:b]]
-                    if not is_hot[a]:
-                        buckets.append(name), pairs.append(0), data.append(rows.tobytes())
-                        continue
-                    n = hot[name]
-                    if not n:
-                        continue
-                    rows["block"] = (spread[order[a:b]] % np.uint64(n)).astype(np.int32)
-                    for x in range(n):
-                        for y in range(x, n if across else x + 1):
-                            if len(some := rows[(rows["block"] == x) | (rows["block"] == y)]):
-                                buckets.append(name), pairs.append(x * n + y), data.append(some.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(pairs, pa.int64()), pa.array(data, pa.binary())], ["bucket", "pair", "data"])
-
-    return run, member
+                order, starts = _groups(bucket)
+                for a, b in zip(starts, starts[1:]):
+                    buckets.append(int(bucket[order[a]])), data.append(own[order[a:b]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+    return run
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (bucket, data, blocks): rows (bucket, pair, data). A bucket of several blocks goes out once for each pair of them, one of none not at all."""
+    for batch in batches:
+        buckets, pairs, data = [], [], []
+        for bucket, raw, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if n is None:
+                buckets.append(bucket), pairs.append(0), data.append(raw)
+                continue
+            rows = np.frombuffer(raw, _MEMBER).copy()
+            if n:
+                rows["block"] = (mix(rows["id"].astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+            order, starts = _groups(rows["block"])
+            for a, b in zip(starts, starts[1:]) if n else ():
+                x, some = int(rows["block"][order[a]]), rows[order[a:b]].tobytes()
+                for y in range(n):
+                    buckets.append(bucket), pairs.append(min(x, y) * n + max(x, y)), data.append(some)
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(pairs, pa.int64()), pa.array(data, pa.binary())], ["bucket", "pair", "data"])
 
 
 def close_pairs(rows: np.ndarray, bound: int, near: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,12 +327,12 @@ def close_pairs(rows: np.ndarray, bound: int, near: int | None) -> tuple[np.ndar
     return np.concatenate(a), np.concatenate(b), np.unique(np.concatenate(left))
 
 
-def _matcher(member: np.dtype, bound: int, near: int | None):
+def _matcher(bound: int, near: int | None):
     """Over rows sorted by bucket and pair: candidate pairs (a, b); a row with a null b names a class of a pair that was left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list[bytes]) -> None:
-            a, b, left = close_pairs(np.frombuffer(b"".join(parts), member), bound, near)
+            a, b, left = close_pairs(np.frombuffer(b"".join(parts), _MEMBER), bound, near)
             found_a.append(pa.array(np.concatenate([a, left]))), found_b.append(pa.concat_arrays([pa.array(b), pa.nulls(len(left), pa.int64())]))
 
         now, parts, found_a, found_b = None, [], [], []
@@ -337,15 +353,21 @@ def _matcher(member: np.dtype, bound: int, near: int | None):
     return run
 
 
-def _candidates(reps: DataFrame, depth: int, trees: int, bound: int, near: int | None, hot: dict[int, int], across: bool) -> DataFrame:
-    file, member = _filer(depth, trees, hot, across)
-    filed = reps.select("id", "label", "sim").mapInArrow(file, "bucket long, pair long, data binary")
-    sorted_ = filed.repartition(F.xxhash64("bucket", "pair")).sortWithinPartitions("bucket", "pair")
-    return materialise(sorted_.mapInArrow(_matcher(member, bound, near), "a long, b long").distinct(), "simhash-pairs")
+def _candidates(members: DataFrame, depth: int, trees: int, bound: int, near: int | None, dense: DataFrame | None, parents: DataFrame | None, step: int) -> DataFrame:
+    """Candidate pairs of members (id, label, sim) under one depth. dense: buckets to be split (bucket, blocks); parents: buckets `step` bits up, whose members alone take part."""
+    filed = members.select("id", "label", "sim").mapInArrow(_filer(depth, trees), "bucket long, data binary")
+    if parents is not None:
+        filed = filed.join(with_size(parents.select(F.col("bucket").alias("parent"))), F.shiftright("bucket", step) == F.col("parent"), "left_semi")
+    if dense is None:
+        placed = filed.select("bucket", F.lit(0).cast("long").alias("pair"), "data")
+    else:
+        placed = filed.join(with_size(dense), "bucket", "left").select("bucket", "data", "blocks").mapInArrow(_split, "bucket long, pair long, data binary")
+    sorted_ = placed.repartition(F.xxhash64("bucket", "pair")).sortWithinPartitions("bucket", "pair")
+    return materialise(sorted_.mapInArrow(_matcher(bound, near), "a long, b long").distinct(), "simhash-pairs")
 
 
-def _hot_buckets(reps: DataFrame, depth: int, trees: int, limit: int) -> dict[int, int]:
-    """Buckets of more than limit members and their number of blocks, 0 if all members have one label. At most trees * n / limit of them."""
+def _dense(members: DataFrame, depth: int, trees: int, block: int, parents: DataFrame | None, step: int) -> DataFrame | None:
+    """Buckets of more than `block` members (bucket, blocks), blocks being 0 if all members have one label; None if there are none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,30 +377,33 @@ def _hot_buckets(reps: DataFrame, depth: int, trees: int, limit: int) -> dict[in
             out = []
             for t in range(trees):
                 bucket = permuted_prefixes(sims, t, depth) + (t << depth)
-                order = np.argsort(bucket, kind="stable")
-                starts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-                own = label[order]
-                out.append((bucket[order][starts], np.diff(np.append(starts, len(order))), np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)))
+                order, starts = _groups(bucket)
+                own, at = label[order], np.array(starts[:-1])
+                out.append((bucket[order][at], np.diff(starts), np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["bucket", "n", "low", "high"])
 
-    counts = reps.select("sim", "label").mapInArrow(count, "bucket long, n long, low long, high long")
-    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") > limit)
-    return {r.bucket: 0 if r.low == r.high else math.ceil(r.n / limit) for r in counts.toLocalIterator()}
+    counts = members.select("sim", "label").mapInArrow(count, "bucket long, n long, low long, high long")
+    if parents is not None:
+        counts = counts.join(with_size(parents.select(F.col("bucket").alias("parent"))), F.shiftright("bucket", step) == F.col("parent"), "left_semi")
+    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") > block)
+    found = materialise(counts.select("bucket", F.when(F.col("low") == F.col("high"), 0).otherwise(F.ceil(F.col("n") / block)).cast("int").alias("blocks")), "simhash-dense")
+    return found if found.head(1) else None
 
 
-def _slot(doc: str) -> list[Column]:
-    slot = F.pmod(F.xxhash64(doc), F.lit(_SLOTS))
+def _slot(doc: str, slots: int) -> list[Column]:
+    slot = F.pmod(F.xxhash64(doc), F.lit(slots))
     return [F.bitmap_bucket_number(slot).alias("slot_bucket_"), F.bitmap_bit_position(slot).alias("slot_bit_")]
 
 
-def _marks(ids: DataFrame) -> Broadcast:
-    """A bit per hash slot of the ids in the only column of a frame: 1 MB whatever their number."""
-    bucket, bit = _slot(ids.columns[0])
+def _marks(ids: DataFrame) -> tuple[Broadcast, int]:
+    """A bit per hash slot of the ids in the only column of a frame, and the number of slots: 16 an id and more, from 1 MB up to 32 MB."""
+    slots = 1 << min(_MOST_SLOTS, max(_LEAST_SLOTS, (16 * ids.count()).bit_length()))
+    bucket, bit = _slot(ids.columns[0], slots)
     marks = ids.select(bucket, bit).groupBy("slot_bucket_").agg(F.bitmap_construct_agg("slot_bit_").alias("bits"))
-    bits = np.zeros((_SLOTS // 32768 + 2, 4096), np.uint8)
+    bits = np.zeros((slots // 32768 + 2, 4096), np.uint8)
     for r in marks.toLocalIterator():
         bits[r.slot_bucket_] = np.frombuffer(r.bits, np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bits)
+    return ids.sparkSession.sparkContext.broadcast(bits), slots
 
 
 def _marked(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
@@ -388,26 +413,28 @@ def _marked(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the wanted classes, and few others. docs: doc, text; wanted: doc, the smallest document of a class.
+    """(id, set) of the wanted classes. docs: doc, text; wanted: id, h1, h2 and doc, the smallest document of a class.
 
     Marks of the wanted documents let the scan skip most other texts; the join on
-    id that follows is exact.
+    the key that follows is exact.
     """
-    shared = _marks(wanted)
+    shared, slots = _marks(wanted.select("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).filter(pa.array(_marked(shared.value, batch))).cast(pa.binary()).to_pylist()
             for a, b in chunks([len(t) for t in texts], 4 << 20):
                 sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(class_number, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
+                keys = [class_key(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["h1", "h2", "set"])
 
-    return docs.select("text", *_slot("doc")).mapInArrow(run, "id long, set array<long>")
+    found = docs.select("text", *_slot("doc", slots)).mapInArrow(run, "h1 long, h2 long, set array<long>")
+    return found.join(wanted.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "set").dropDuplicates(["id"])
 
 
 def _without(docs: DataFrame, doc_id: str, drop: DataFrame) -> DataFrame:
     """docs without the ids of drop. Rows whose slot is not marked stay where they are; only the others are joined."""
-    shared = _marks(drop)
+    shared, slots = _marks(drop)
 
     def taking(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,18 +443,30 @@ def _without(docs: DataFrame, doc_id: str, drop: DataFrame) -> DataFrame:
                     part = batch.filter(pa.array(_marked(shared.value, batch) == wanted))
                     yield pa.RecordBatch.from_arrays(part.columns[:-2], part.schema.names[:-2])
 
-        return docs.select("*", *_slot(doc_id)).mapInArrow(run, docs.schema)
+        return docs.select("*", *_slot(doc_id, slots)).mapInArrow(run, docs.schema)
 
     maybe = taking(True)
     return taking(False).unionByName(maybe.join(drop, maybe[doc_id] == drop[drop.columns[0]], "left_anti"))
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """pairs with set_a or set_b. A class of over _HUB pairs has its set in several places, so no task gets all of its pairs."""
+    hubs = materialise(pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > _HUB).select(end, F.ceil(F.col("n") / _HUB).cast("int").alias("places")), "simhash-hubs")
+    sets = sets.toDF(end, f"set_{end}")
+    if not hubs.head(1):
+        return pairs.join(sets, end)
+    other = "b" if end == "a" else "a"
+    many = pairs.join(with_size(hubs), end, "left").withColumn("place", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+    spread = sets.join(with_size(hubs), end, "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
+    return many.join(spread, [end, "place"]).drop("place")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of which the sets have at least this Jaccard similarity."""
-    left = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - common
-    return left.where(common >= F.lit(similarity) * either - 1e-9).select("a", "b")
+    return both.where(common >= F.lit(similarity) * either - 1e-9).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.99, near: int = 2, block: int = 8192) -> DataFrame:
@@ -436,54 +475,52 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         raise ValueError("the forest is laid out for similarities of 0.8 or more")
     kind = docs.schema[doc_id].dataType
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = materialise(own.mapInArrow(_signatures, "doc long, id long, sim binary, few binary"), "simhash-signatures")
-    classes = signed.where("doc is not null and id is not null").groupBy("id").agg(F.min("doc").alias("doc"), F.first("sim").alias("sim"), F.first("few").alias("few"))
-    classes = materialise(classes, "simhash-classes")
+    signed = materialise(own.mapInArrow(_signatures, "doc long, h1 long, h2 long, sim binary, few binary"), "simhash-signatures")
+    classes = signed.where("doc is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("sim").alias("sim"), F.first("few").alias("few"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "simhash-classes")
     # A set that is too short for any partner beyond the short ones is left out of the forest.
     large = classes.where(F.col("few").isNull() | (F.octet_length("few") >= 8 * math.ceil(similarity * (_SHORT + 1) - 1e-9)))
-    n = large.count()
-    depth, trees, bound = forest_shape(n, similarity, recall)
+    depth, trees, bound = forest_shape(large.count(), similarity, recall)
     texts = own.where("doc is not null and text is not null")
-    limit = max(block, math.ceil(n * trees / 200_000))
-    members = large.select("id", F.col("id").alias("label"), "sim")
-    hot = _hot_buckets(members, depth, trees, limit)
-    links = [materialise(_short_links(classes, similarity), "simhash-links")]
-
-    def all_links() -> DataFrame:
-        out = links[0]
-        for x in links[1:]:
-            out = out.union(x)
-        return out
+    # Links found so far: those of the last round, and each class with its component before that.
+    links = materialise(_short_links(classes, similarity), "simhash-links")
 
-    def compare(members: DataFrame, depth: int, near: int | None, hot: dict[int, int], across: bool = True) -> tuple[DataFrame, bool]:
+    def compare(members: DataFrame, depth: int, near: int | None, dense: DataFrame | None, parents: DataFrame | None = None) -> tuple[DataFrame, bool]:
         """Pair members (id, label, sim) under one depth and keep the verified links. The ids that had a partner, left out or not; whether pairs were left out."""
-        found = _candidates(members, depth, trees, bound, near, hot, across)
+        nonlocal links
+        found = _candidates(members, depth, trees, bound, near, dense, parents, _STEP)
         pairs, left = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("id"))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = _sets_of(texts, classes.join(ids, "id", "left_semi").select("doc")).join(ids, "id", "left_semi").dropDuplicates(["id"])
-        links.append(materialise(_verified(pairs, sets, similarity), "simhash-links"))
+        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "simhash-paired")
+        wanted = materialise(classes.join(ids, "id", "left_semi").select("id", "doc", "h1", "h2"), "simhash-wanted")
+        links = materialise(links.union(_verified(pairs, _sets_of(texts, wanted), similarity)), "simhash-links")
         return ids.union(left).distinct(), bool(left.head(1))
 
     def labelled() -> DataFrame:
-        of = components(all_links())
+        nonlocal links
+        of = components(links)
+        links = of.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         return materialise(large.select("id", "sim").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "sim"), "simhash-labels")
 
-    if hot and depth < 32:  # dense buckets: descend, label what is linked there, and climb back
-        deeper = min(32, depth + 12)
-        compare(members, deeper, near, _hot_buckets(members, deeper, trees, limit), across=False)
+    members = large.select("id", F.col("id").alias("label"), "sim")
+    levels = [_dense(members, depth, trees, block, None, _STEP)]
+    while levels[-1] is not None and depth + len(levels) * _STEP <= _DEEPEST:  # descend where buckets are dense, and only there
+        levels.append(_dense(members, depth + len(levels) * _STEP, trees, block, levels[-1], _STEP))
+    for k in range(len(levels) - 1, 0, -1):  # climb back: what is linked further down has one label here
+        deeper = depth + k * _STEP
+        dense = levels[k] if k == len(levels) - 1 else _dense(members, deeper, trees, block, levels[k - 1], _STEP)
+        compare(members, deeper, near, dense, levels[k - 1])
         members = labelled()
-        hot = _hot_buckets(members, depth, trees, limit)
-    ids, more = compare(members, depth, near, hot)
+    ids, more = compare(members, depth, near, levels[0] if len(levels) == 1 else _dense(members, depth, trees, block, None, _STEP))
     if more:
         members = materialise(labelled().join(ids, "id", "left_semi"), "simhash-partnered")
-        compare(members, depth, None, _hot_buckets(members, depth, trees, limit))
-    of = materialise(components(all_links()), "simhash-components")
-    grouped = classes.select("id", "doc").join(of, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("group"))
+        compare(members, depth, None, _dense(members, depth, trees, block, None, _STEP))
+    of = materialise(components(links), "simhash-components")
+    grouped = classes.select("id", "h1", "h2", "doc").join(of, "id", "left").select("id", "h1", "h2", "doc", F.coalesce("component", "id").alias("group"))
     least = grouped.where("id != group").groupBy("group").agg(F.min("doc").alias("least"))
     named = grouped.join(least, "group", "left").select("id", F.least("doc", "least").alias("doc"), "group")
     heads = named.where("id = group").select("group", F.col("doc").alias("component"))
-    reps = grouped.select("id", "group").join(heads, "group").select("id", "component")
-    out = signed.select("doc", "id").join(reps, "id", "left").select("doc", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
+    reps = grouped.select("h1", "h2", "group").join(heads, "group").select("h1", "h2", "component")
+    out = signed.select("doc", "h1", "h2").join(reps, ["h1", "h2"], "left").select("doc", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
     return out.select(F.col("doc").cast(kind).alias(doc_id), F.col("component").cast(kind).alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 
