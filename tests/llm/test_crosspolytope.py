@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tokenloom.llm.crosspolytope import Forest, hadamard, layout, link_vectors
+from tokenloom.llm.crosspolytope import Forest, _dense, hadamard, layout, link_vectors
 
 
 def brute(rows, cosine=0.95):
@@ -78,3 +78,36 @@ def test_chains_join_components(spark):
     rows = [(100 - i, [float(np.cos(a)), float(np.sin(a)), 0.0, 0.0]) for i, a in enumerate(t)]
     got = run(spark, rows)
     assert same(got, brute(rows)) and len({r[2] for r in got}) == 1
+
+
+def test_recall_that_cannot_be_had_is_an_error():
+    with pytest.raises(ValueError, match="tables"):
+        layout(10**9, 64, 0.5, 0.9999, 2)
+    assert layout(10**9, 64, 0.8, 0.9999, 2)[1] > 64
+
+
+def test_blocks_have_one_size(spark):
+    """A bucket of 90 equal-looking vectors is cut into blocks of at most 16 or so, and so is one of 900."""
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(16)
+    for n in (90, 900):
+        x = [(base + rng.normal(0, 0.01, 16)).astype(np.float32).tobytes() for _ in range(n)]
+        forest = Forest(16, (16,), 2, 2)
+        classes = spark.createDataFrame([(bytearray(v),) for v in x], "vec binary")
+        found = _dense(classes, forest, "<f4", 16).collect()
+        assert max(r.blocks for r in found) == -(-n // 16)
+
+
+def test_links_of_many_tiles_are_counted(monkeypatch):
+    """The same sums and joins, in tiles of a few pairs as in one."""
+    from tokenloom.llm import crosspolytope
+
+    rng = np.random.default_rng(2)
+    kind = crosspolytope._member(8, "<f4")
+    rows = np.zeros(60, kind)
+    rows["id"], rows["n"], rows["home"] = rng.permutation(60), rng.integers(1, 4, 60), True
+    rows["vec"] = np.repeat(rng.standard_normal((6, 8)), 10, 0) + rng.normal(0, 0.1, (60, 8))
+    forest = Forest(8, (8,), 2, 2)
+    one = crosspolytope.bucket_links(rows, forest, 0, 0, 0.9)
+    monkeypatch.setattr(crosspolytope, "_TILE", 7)
+    assert all((a == b).all() for a, b in zip(one, crosspolytope.bucket_links(rows, forest, 0, 0, 0.9))) and len(one[0]) > 20
