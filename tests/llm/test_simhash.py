@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tokenloom.llm.q_simhash import op8_simhash
-from tokenloom.llm.simhash import agreement, close_pairs, forest_shape, keep_one, near_duplicates, shingle_sets, simhash
+from tokenloom.llm.simhash import _verified, agreement, close_pairs, forest_shape, keep_one, near_duplicates, shingle_sets, simhash
 
 
 def brute(rows):
@@ -111,6 +111,18 @@ def test_short_documents_are_found_without_exception(spark):
     assert all(c == d - d % 2 for d, c in run(spark.createDataFrame(pairs, "doc_id long, text string")))
 
 
+@pytest.mark.parametrize("places", [None, 3])
+def test_pairs_are_verified_by_their_sets(spark, places):
+    """Also if the pairs of a class are spread over several places."""
+    sets = {0: [*range(10)], **{i: [*range(10 - i % 4), *range(100 * i, 100 * i + i % 3)] for i in range(1, 12)}}
+    pairs = [(0, i) for i in range(1, 12)] + [(i, 11) for i in range(1, 11)]
+    df = spark.createDataFrame(list(sets.items()), "id long, set array<long>")
+    hubs = places and spark.createDataFrame([(0, places), (11, places)], "id long, places int")
+    got = {tuple(r) for r in _verified(spark.createDataFrame(pairs, "a long, b long"), df, 0.8, hubs).collect()}
+    jaccard = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    assert got == {(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8} and got
+
+
 def test_left_out_partners_are_named():
     """Class 4 is near to 1, 2 and 3, which are far from each other: with two partners at most, 3 has no pair and must be known to the last round."""
     rows = np.zeros(4, [("id", "<i8"), ("label", "<i8"), ("block", "<i4"), ("sim", "V32")])

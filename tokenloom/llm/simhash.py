@@ -395,9 +395,9 @@ def _slot(doc: str, slots: int) -> list[Column]:
     return [F.bitmap_bucket_number(slot).alias("slot_bucket_"), F.bitmap_bit_position(slot).alias("slot_bit_")]
 
 
-def _marks(ids: DataFrame) -> tuple[Broadcast, int]:
-    """A bit per hash slot of the ids in the only column of a frame, and the number of slots: 16 an id and more, from 1 MB up to 32 MB."""
-    slots = 1 << min(_MOST_SLOTS, max(_LEAST_SLOTS, (16 * ids.count()).bit_length()))
+def _marks(ids: DataFrame, n: int) -> tuple[Broadcast, int]:
+    """A bit per hash slot of the n ids in the only column of a frame, and the number of slots: 16 an id and more, from 1 MB up to 32 MB."""
+    slots = 1 << min(_MOST_SLOTS, max(_LEAST_SLOTS, (16 * n).bit_length()))
     bucket, bit = _slot(ids.columns[0], slots)
     marks = ids.select(bucket, bit).groupBy("slot_bucket_").agg(F.bitmap_construct_agg("slot_bit_").alias("bits"))
     bits = np.zeros((slots // 32768 + 2, 4096), np.uint8)
@@ -412,13 +412,13 @@ def _marked(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
     return ((bits[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the wanted classes. docs: doc, text; wanted: id, h1, h2 and doc, the smallest document of a class.
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(id, set) of the n wanted classes. docs: doc, text; wanted: id, h1, h2 and doc, the smallest document of a class.
 
     Marks of the wanted documents let the scan skip most other texts; the join on
     the key that follows is exact.
     """
-    shared, slots = _marks(wanted.select("doc"))
+    shared, slots = _marks(wanted.select("doc"), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -434,7 +434,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, doc_id: str, drop: DataFrame) -> DataFrame:
     """docs without the ids of drop. Rows whose slot is not marked stay where they are; only the others are joined."""
-    shared, slots = _marks(drop)
+    shared, slots = _marks(drop, drop.count())
 
     def taking(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,21 +449,21 @@ def _without(docs: DataFrame, doc_id: str, drop: DataFrame) -> DataFrame:
     return taking(False).unionByName(maybe.join(drop, maybe[doc_id] == drop[drop.columns[0]], "left_anti"))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
-    """pairs with set_a or set_b. A class of over _HUB pairs has its set in several places, so no task gets all of its pairs."""
-    hubs = materialise(pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > _HUB).select(end, F.ceil(F.col("n") / _HUB).cast("int").alias("places")), "simhash-hubs")
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, hubs: DataFrame | None) -> DataFrame:
+    """pairs with set_a or set_b. hubs (id, places): classes whose set is put in several places, so that no task gets all of their pairs."""
     sets = sets.toDF(end, f"set_{end}")
-    if not hubs.head(1):
+    if hubs is None:
         return pairs.join(sets, end)
+    hubs = with_size(hubs.withColumnRenamed("id", end))
     other = "b" if end == "a" else "a"
-    many = pairs.join(with_size(hubs), end, "left").withColumn("place", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
-    spread = sets.join(with_size(hubs), end, "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
+    many = pairs.join(hubs, end, "left").withColumn("place", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+    spread = sets.join(hubs, end, "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
     return many.join(spread, [end, "place"]).drop("place")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, hubs: DataFrame | None) -> DataFrame:
     """Pairs of which the sets have at least this Jaccard similarity."""
-    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
+    both = _with_sets(_with_sets(pairs, sets, "a", hubs), sets, "b", hubs)
     common = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - common
     return both.where(common >= F.lit(similarity) * either - 1e-9).select("a", "b")
@@ -490,10 +490,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         nonlocal links
         found = _candidates(members, depth, trees, bound, near, dense, parents, _STEP)
         pairs, left = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("id"))
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "simhash-paired")
-        wanted = materialise(classes.join(ids, "id", "left_semi").select("id", "doc", "h1", "h2"), "simhash-wanted")
-        links = materialise(links.union(_verified(pairs, _sets_of(texts, wanted), similarity)), "simhash-links")
-        return ids.union(left).distinct(), bool(left.head(1))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
+        wanted = materialise(classes.join(ends, "id").select("id", "doc", "h1", "h2", "pairs"), "simhash-wanted")
+        n, most = wanted.agg(F.count("*"), F.max("pairs")).first()
+        hubs = wanted.where(F.col("pairs") > _HUB).select("id", F.ceil(F.col("pairs") / _HUB).cast("int").alias("places")) if (most or 0) > _HUB else None
+        links = materialise(links.union(_verified(pairs, _sets_of(texts, wanted, n), similarity, hubs)), "simhash-links")
+        return wanted.select("id").union(left).distinct(), bool(left.head(1))
 
     def labelled() -> DataFrame:
         nonlocal links
