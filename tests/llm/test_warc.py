@@ -7,7 +7,7 @@ import pytest
 import zstandard
 
 from tokenloom.llm import warc
-from tokenloom.llm.warc import Archive, make_record, parse_record, read_archive, read_archives, write_archives
+from tokenloom.llm.warc import Archive, make_record, parse_record, read_archive, read_archives, settle_revisits, write_archives
 
 
 def test_round_trip_of_odd_pages(spark, tmp_path):
@@ -61,3 +61,22 @@ def test_dictionary_frame_and_single_records(tmp_path):
         list(read_archive(io.BytesIO(data[:-3])))
     with pytest.raises(ValueError):
         parse_record(records[0].replace(b"body", b"BODY"))
+
+
+def test_payloads_of_many_pages_are_settled_alike(spark, sf_dir):
+    """A payload on more pages than the limit takes another way to the same revisits."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    pages = pages.union(pages.selectExpr("page_id + 100000", "''")).union(pages.selectExpr("page_id + 200000", "html")).union(spark.createDataFrame([(None, "")], pages.schema))
+    options = {"page_id": "page_id", "payload": "html", "least_bytes": 0}
+    few, many = (sorted(map(tuple, settle_revisits(pages, many_pages=m, **options).collect()), key=repr) for m in (1, 100_000))
+    assert few == many and len(few) > 80
+
+
+def test_attempts_do_not_share_names(spark, sf_dir, tmp_path):
+    """Writing the same pages again leaves the first archives as they were, and each list reads back whole."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    first, second = (write_archives(pages, str(tmp_path), archive_bytes=20_000) for _ in range(2))
+    names = [{r.file for r in x.collect()} for x in (first, second)]
+    assert not names[0] & names[1]
+    a, b = (sorted(map(tuple, read_archives(x, str(tmp_path)).drop("file").collect()), key=repr) for x in (first, second))
+    assert a == b and len(a) == pages.count()

@@ -8,13 +8,18 @@ page with the largest id only; the others become revisit records that refer to
 it. Which pages those are is settled by joining (digest, id) pairs, without the
 payloads; each payload then travels once, to the task that writes its archive.
 
-Archives are written under another name and renamed when complete, so a task that
-is run again replaces its archives, and a lost executor leaves no partial one.
+Archives are written under another name and renamed when complete, and their
+final names hold the number of the attempt, so attempts of one task never touch
+each other's archives, whatever they cut differently. Which archives count is the
+list that write_archives() returns, from the attempts that Spark accepted; others
+in the folder are left over from lost attempts.
 
 Defined cases: a null payload is empty and archived as such; a null url is written
 as urn:page:<id>; rows that repeat the largest id of a payload are all responses;
 a row with a null id revisits the largest id of its payload if there is one and
-is a response otherwise; an empty table gives no archive.
+is a response otherwise; payloads of any length
+are archived whole; an empty table gives no archive. Columns besides id, url and
+payload are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, with_size
 
 DICTIONARY_MAGIC = 0x184D2A5D
 _SAMPLE_BYTES, _DICTIONARY_BYTES = 1 << 20, 64 << 10
@@ -160,13 +165,18 @@ def read_archive(stream) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def settle_revisits(pages: DataFrame, *, page_id: str, payload: str, least_bytes: int) -> DataFrame:
+def settle_revisits(pages: DataFrame, *, page_id: str, payload: str, least_bytes: int, many_pages: int = 100_000) -> DataFrame:
     """(page_, digest_, refers_): distinct ids and digests that revisit, and the id they refer to."""
     own = pages.select(F.col(page_id).cast("long").alias("page_"), F.sha1(F.coalesce(payload, F.lit(""))).alias("digest_"), F.octet_length(F.coalesce(payload, F.lit(""))).alias("bytes_"))
     own = own.where(F.col("bytes_") >= least_bytes).groupBy("digest_", "page_").agg(F.count("*").alias("rows_"))
     own = materialise(own, "warc-digests")
-    largest = own.groupBy("digest_").agg(F.max("page_").alias("refers_"), F.count("*").alias("pages_")).where("refers_ is not null and pages_ > 1").select("digest_", "refers_")
-    return materialise(own.join(largest, "digest_").where("page_ is null or page_ != refers_").select("page_", "digest_", "refers_"), "warc-revisits")
+    largest = materialise(own.groupBy("digest_").agg(F.max("page_").alias("refers_"), F.count("*").alias("pages_")).where("refers_ is not null and pages_ > 1"), "warc-largest")
+    # Payloads of very many pages (the empty one) are few, so their pages stay where they are; the others are joined by digest.
+    many = largest.where(F.col("pages_") > many_pages).select("digest_", F.col("refers_").alias("many_"))
+    marked = own.join(with_size(many), "digest_", "left")
+    rest = marked.where("many_ is null").drop("many_").join(largest.where(F.col("pages_") <= many_pages).drop("pages_"), "digest_")
+    found = rest.select("page_", "digest_", "refers_").union(marked.where("many_ is not null").select("page_", "digest_", "many_"))
+    return materialise(found.where("page_ is null or page_ != refers_"), "warc-revisits")
 
 
 def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, archive_bytes: int = 1 << 30, level: int = 3, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
@@ -183,12 +193,12 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         files.create_dir(base, recursive=True)
-        task, archive, done = TaskContext.get().partitionId(), None, []
+        task, archive, done = TaskContext.get(), None, []
         for batch in batches:
             payloads = batch.column(2).cast(pa.binary())
             for page, address, body, digest, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), payloads, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if archive is None:
-                    archive = Archive(files, f"{base}/part-{task:06d}-{len(done):04d}.warc.zst", level)
+                    archive = Archive(files, f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst", level)
                 archive.add(make_record(page, address, body.as_py(), base64.b32encode(bytes.fromhex(digest)).decode(), refers, date))
                 if archive.size >= archive_bytes:
                     archive.close()
