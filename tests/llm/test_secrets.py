@@ -99,3 +99,12 @@ def test_private_keys_are_spans_with_their_body():
         text = f"before {key}\nand words after it"
         (spans,) = Scanner(RULES).scan([text.encode()])
         assert [(a, b) for k, a, b in spans if k == "private_key"] == [(7, 7 + len(key))]
+
+
+def test_many_spans_in_one_text(spark):
+    """Thousands of spans, also overlapping ones, in a long text with characters beyond ASCII."""
+    key = "AKIA" + "A1B2" * 5
+    text = " ".join(f"é{i} {key} token={key}xyz" for i in range(3000))
+    got = redact(spark.createDataFrame([(text, 1), (None, 2), ("", 3)], "text string, n int")).orderBy("n").collect()
+    assert got[0].text == " ".join(f"é{i} [REDACTED] [REDACTED]" for i in range(3000))
+    assert got[1].text is None and got[2].text == ""

@@ -10,7 +10,8 @@ runs) has the query TRUE and scans every document of the segment.
 
 Defined cases: a null text counts as empty and has no spans; repeated documents
 are each scanned; a document of any length is one entry of its segment and is
-scanned whole. Other columns are carried along untouched.
+scanned whole; spans that start together are in the order of the rules; an empty
+table gives no rows. Other columns are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -247,17 +248,26 @@ def find_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
 
 def redact(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
     """docs with every span replaced by mark; overlapping spans count as one."""
-    found, name = find_secrets(docs, text=text, rules=rules)
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    at = docs.columns.index(text)
 
-    def step(acc, s):
-        kept = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        more = F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.lit(mark)).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], more).otherwise(longer)
+    def cut(body: str, spans: list[tuple[str, int, int]]) -> str:
+        pieces, end = [], 0
+        for _, a, b in spans:  # by start
+            if a >= end:
+                pieces += [body[end:a], mark]
+            end = max(end, b)
+        return "".join([*pieces, body[end:]])
 
-    def finish(acc):
-        return F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.char_length(text)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(rules)
+        for batch in batches:
+            whole = batch.column(at)
+            texts = [t or b"" for t in whole.cast(pa.binary()).to_pylist()]
+            new: dict[int, str] = {}
+            for a, b in chunks([len(t) for t in texts], _SEGMENT_BYTES):
+                new |= {a + i: cut(texts[a + i].decode(), spans) for i, spans in enumerate(scanner.scan(texts[a:b])) if spans}
+            if new:
+                whole = pa.array([new.get(i, x) for i, x in enumerate(whole.to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([whole if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    clean = F.when(F.size(name) > 0, F.aggregate(name, empty, step, finish)).otherwise(F.col(text))
-    return found.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return docs.mapInArrow(run, docs.schema)
