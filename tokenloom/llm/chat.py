@@ -19,7 +19,9 @@ the turns of one window and a bounded history, never a whole conversation.
 Defined cases: a null role or text is empty; null turns come last; turns that tie
 are ordered by role, then text; repeated rows are turns of their own; rows with a
 null conversation id form one conversation; a conversation without assistant
-turns has windows without targets; a second system turn is an ordinary turn.
+turns has windows without targets; a second system turn is an ordinary turn; an
+empty table gives no windows. Columns besides the four are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -55,14 +57,13 @@ def write_turn(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}<|end|>\n", len(head), len(head) + len(body)
 
 
-def token_counter(path: str | None) -> Callable[[str], int]:
-    """Counts tokens with a byte-pair vocabulary of ranks; without one, UTF-8 bytes over four, rounded up."""
-    if path is None:
+def token_counter(vocabulary: bytes | None) -> Callable[[str], int]:
+    """Counts tokens with a byte-pair vocabulary (the contents of a file of ranks); without one, UTF-8 bytes over four, rounded up."""
+    if vocabulary is None:
         return lambda text: -(-len(text.encode()) // 4)
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     encoding = tiktoken.Encoding("chat", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
@@ -132,8 +133,14 @@ def format_windows(conversations: DataFrame, *, conv_id: str = "conv_id", turn:
     own = conversations.select(F.col(conv_id).cast("long").alias(conv_id), F.col(turn).alias("turn_"), F.coalesce(role, F.lit("")).alias("role_"), F.coalesce(text, F.lit("")).alias("text_"))
     own = own.repartition(conv_id).sortWithinPartitions(F.col(conv_id), F.col("turn_").asc_nulls_last(), "role_", "text_")
 
+    vocabulary = None
+    if tokenizer is not None:  # read here and sent along: a megabyte or so, and executors need no file
+        with open(tokenizer, "rb") as f:
+            vocabulary = f.read()
+    shared = conversations.sparkSession.sparkContext.broadcast(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, now, current, rows, size = token_counter(tokenizer), (), None, [], 0
+        count, now, current, rows, size = token_counter(shared.value), (), None, [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal rows, size
