@@ -17,8 +17,10 @@ choices follow from hashes of the rows and the seed, so reruns agree however the
 data are partitioned.
 
 Defined cases: a null text has size 0; documents of size 0 take 0 words; null is
-a source of its own, the last; an empty table gives an empty result. Other
-columns are carried along by mix() under their own names.
+a source of its own, the last; ties in size and repeated ids are units of their own
+unless source and size agree too; texts of any length are counted whole; an empty
+table gives an empty result. Other columns are carried along by mix() under their
+own names.
 """
 
 from __future__ import annotations
