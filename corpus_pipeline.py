@@ -23,40 +23,59 @@ from tokenloom.llm.simhash import keep_one
 MIN_SCORE = 0.3
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Fewer rows to an Arrow batch: texts are long, and a batch lies in memory on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; those without a letter, or of no clear language, go."""
-    short_batches(spark)
+    """Documents in a recognised language; those without a letter, or of no clear language, go.
+
+    Learned from docs itself (lang of the rows whose crc32(doc_id) mod 4 is not 2; a
+    null lang or id teaches nothing). A null or empty text goes; a text of any length
+    is read whole; repeated rows have one fate; without any labelled row every document
+    goes; an empty table stays empty. Further columns pass through, whatever their names.
+    """
     found, name = identify(docs, F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False)))
     return found.where((F.col(f"{name}.lang") != UND) & (F.col(f"{name}.score") >= MIN_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id."""
-    short_batches(spark)
+    """One document of each group: that with the smallest id.
+
+    A null id, and a text without words (null and empty too), is near to nothing and
+    stays. Of rows that repeat an id and a text one stays; an id with different texts
+    keeps one row of each, if it heads a group. Texts of any length are compared
+    whole; an empty table stays empty. Further columns pass through, whatever their names.
+    """
     return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark table occurs."""
-    short_batches(spark)
+    """Documents in which no window of the benchmark table occurs.
+
+    A null or empty text has no windows and stays; a text of any length is scanned
+    whole; repeated rows have one fate, whatever else is in them; an empty table stays
+    empty, and an empty benchmark drops nothing. Further columns pass through, whatever
+    their names.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their text replaced; n_chars follows the text."""
-    short_batches(spark)
+    """All documents, with every secret in their text replaced; n_chars follows the text.
+
+    A null or empty text stays as it is (n_chars null or 0); overlapping secrets are
+    one replacement; a text of any length is scanned whole; repeated rows all stay; an
+    empty table stays empty. Further columns pass through, whatever their names; without
+    a column n_chars none is added.
+    """
     clean = redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, and how often."""
-    short_batches(spark)
+    """Documents that the mix takes, and how often (a last column, copies, or copies_ where that name is taken).
+
+    A null source is a source of its own; a null or empty text weighs nothing; rows
+    equal in id, source and size have the same number of copies; texts of any length
+    are counted whole; an empty table stays empty.
+    """
     return mix(docs)
 
 
