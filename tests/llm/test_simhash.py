@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tokenloom.llm.q_simhash import op8_simhash
-from tokenloom.llm.simhash import _verified, agreement, close_pairs, forest_shape, keep_one, near_duplicates, shingle_sets, simhash
+from tokenloom.llm.simhash import _number, _verified, agreement, close_pairs, forest_shape, keep_one, near_duplicates, shingle_sets, simhash
 
 
 def brute(rows):
@@ -123,6 +123,13 @@ def test_pairs_are_verified_by_their_sets(spark, places):
     assert got == {(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8} and got
 
 
+def test_classes_with_a_common_half_are_told_apart(spark):
+    df = spark.createDataFrame([(5, 1), (5, 2), (6, 1)], "h1 long, h2 long")
+    assert [r[0] for r in df.select(_number([])).collect()] == [5, 5, 6]
+    apart = [r[0] for r in df.select(_number([5])).collect()]
+    assert len(set(apart)) == 3 and apart[2] == 6
+
+
 def test_left_out_partners_are_named():
     """Class 4 is near to 1, 2 and 3, which are far from each other: with two partners at most, 3 has no pair and must be known to the last round."""
     rows = np.zeros(4, [("id", "<i8"), ("label", "<i8"), ("block", "<i4"), ("sim", "V32")])

@@ -412,11 +412,16 @@ def _marked(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
     return ((bits[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, set) of the n wanted classes. docs: doc, text; wanted: id, h1, h2 and doc, the smallest document of a class.
+def _number(clashes: list[int]) -> Column:
+    """One number for the 128 bits h1, h2 of a class: h1, but for those of `clashes`, the few h1 that several classes have."""
+    return F.when(F.col("h1").isin(clashes), F.xxhash64("h1", "h2")).otherwise(F.col("h1")) if clashes else F.col("h1")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, number: Column) -> DataFrame:
+    """(id, set) of the n wanted classes. docs: doc, text; wanted: id and doc, the smallest document of a class.
 
     Marks of the wanted documents let the scan skip most other texts; the join on
-    the key that follows is exact.
+    id that follows is exact.
     """
     shared, slots = _marks(wanted.select("doc"), n)
 
@@ -429,7 +434,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["h1", "h2", "set"])
 
     found = docs.select("text", *_slot("doc", slots)).mapInArrow(run, "h1 long, h2 long, set array<long>")
-    return found.join(wanted.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "set").dropDuplicates(["id"])
+    return found.select(number.alias("id"), "set").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def _without(docs: DataFrame, doc_id: str, drop: DataFrame) -> DataFrame:
@@ -477,7 +482,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = materialise(own.mapInArrow(_signatures, "doc long, h1 long, h2 long, sim binary, few binary"), "simhash-signatures")
     classes = signed.where("doc is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("sim").alias("sim"), F.first("few").alias("few"))
-    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "simhash-classes")
+    classes = materialise(classes, "simhash-classes")
+    # Among n classes some n * n / 2**65 share their first 64 bits: a few at 10**10.
+    clashes = [r.h1 for r in classes.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").toLocalIterator()]
+    number = _number(clashes)
+    classes = classes.withColumn("id", number)
     # A set that is too short for any partner beyond the short ones is left out of the forest.
     large = classes.where(F.col("few").isNull() | (F.octet_length("few") >= 8 * math.ceil(similarity * (_SHORT + 1) - 1e-9)))
     depth, trees, bound = forest_shape(large.count(), similarity, recall)
@@ -491,10 +500,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         found = _candidates(members, depth, trees, bound, near, dense, parents, _STEP)
         pairs, left = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("id"))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
-        wanted = materialise(classes.join(ends, "id").select("id", "doc", "h1", "h2", "pairs"), "simhash-wanted")
+        wanted = materialise(classes.join(ends, "id").select("id", "doc", "pairs"), "simhash-wanted")
         n, most = wanted.agg(F.count("*"), F.max("pairs")).first()
         hubs = wanted.where(F.col("pairs") > _HUB).select("id", F.ceil(F.col("pairs") / _HUB).cast("int").alias("places")) if (most or 0) > _HUB else None
-        links = materialise(links.union(_verified(pairs, _sets_of(texts, wanted, n), similarity, hubs)), "simhash-links")
+        links = materialise(links.union(_verified(pairs, _sets_of(texts, wanted, n, number), similarity, hubs)), "simhash-links")
         return wanted.select("id").union(left).distinct(), bool(left.head(1))
 
     def labelled() -> DataFrame:
@@ -517,12 +526,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         members = materialise(labelled().join(ids, "id", "left_semi"), "simhash-partnered")
         compare(members, depth, None, _dense(members, depth, trees, block, None, _STEP))
     of = materialise(components(links), "simhash-components")
-    grouped = classes.select("id", "h1", "h2", "doc").join(of, "id", "left").select("id", "h1", "h2", "doc", F.coalesce("component", "id").alias("group"))
+    grouped = classes.select("id", "doc").join(of, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("group"))
     least = grouped.where("id != group").groupBy("group").agg(F.min("doc").alias("least"))
     named = grouped.join(least, "group", "left").select("id", F.least("doc", "least").alias("doc"), "group")
     heads = named.where("id = group").select("group", F.col("doc").alias("component"))
-    reps = grouped.select("h1", "h2", "group").join(heads, "group").select("h1", "h2", "component")
-    out = signed.select("doc", "h1", "h2").join(reps, ["h1", "h2"], "left").select("doc", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
+    reps = grouped.select("id", "group").join(heads, "group").select("id", "component")
+    out = signed.select("doc", number.alias("id")).join(reps, "id", "left").select("doc", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
     return out.select(F.col("doc").cast(kind).alias(doc_id), F.col("component").cast(kind).alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 
