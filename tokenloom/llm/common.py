@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps: Spark deletes their shuffle files once the driver's handles of them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_size(few: DataFrame, most: int = 200_000) -> DataFrame:
     """A narrow written table, to be broadcast if it is counted and found to have at most so many rows; joined as it is otherwise."""
     return F.broadcast(few) if few.limit(most + 1).count() <= most else few
@@ -67,4 +74,4 @@ def chunks(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-__all__ = ["chunks", "discard", "fold", "free_name", "materialise", "scratch_dir", "scratch_path", "table", "texts", "with_size"]
+__all__ = ["chunks", "discard", "fold", "free_name", "materialise", "release", "scratch_dir", "scratch_path", "table", "texts", "with_size"]

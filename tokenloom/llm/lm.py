@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 #: Roles of documents: counted, kept back to learn the weights, not learned from.
 COUNTED, KEPT_BACK, OTHER = 0, 1, 2
@@ -317,11 +317,13 @@ def score(docs: DataFrame, learn: Column, keep_back: Column, *, doc_id: str = "d
     tasks = max(cores, min(_MOST_TASKS, math.ceil(10 * order * total / _TASK_BYTES)))  # an n-gram travels as some ten bytes
     parted = batches.mapInArrow(_parter(parts, order), "kind int, part int, batch long, keys binary, counted binary, kept binary").repartition(tasks, "kind", "part")
     counts = materialise(parted.groupBy("kind", "part").applyInArrow(_count_part, _COUNTS), "lm-counts")
+    release(docs.sparkSession)
     t = counts.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("some_tokens", "some_distinct", "all_tokens", "all_distinct")]).first()
     some_docs, all_docs = (sum(roles[k].n for k in ks if k in roles) for ks in ((COUNTED,), (COUNTED, KEPT_BACK)))
     teaching = batches.where(F.instr(F.hex("roles"), f"{KEPT_BACK:02d}") > 0)
     pairs = max(cores, min(_MOST_TASKS, size.n))
     weights = _learn(teaching, counts.join(teaching.select("batch"), "batch", "left_semi"), t.some_tokens, t.some_distinct, some_docs, order, pairs)
+    release(docs.sparkSession)
     n, v = int(t.all_tokens), int(t.all_distinct)
 
     def scores(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

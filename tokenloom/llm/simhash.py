@@ -60,7 +60,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, with_size
+from .common import chunks, materialise, release, with_size
 from .components import components
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -498,12 +498,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         """Pair members (id, label, sim) under one depth and keep the verified links. The ids that had a partner, left out or not; whether pairs were left out."""
         nonlocal links
         found = _candidates(members, depth, trees, bound, near, dense, parents, _STEP)
+        release(docs.sparkSession)
         pairs, left = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("id"))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
         wanted = materialise(classes.join(ends, "id").select("id", "doc", "pairs"), "simhash-wanted")
         n, most = wanted.agg(F.count("*"), F.max("pairs")).first()
         hubs = wanted.where(F.col("pairs") > _HUB).select("id", F.ceil(F.col("pairs") / _HUB).cast("int").alias("places")) if (most or 0) > _HUB else None
         links = materialise(links.union(_verified(pairs, _sets_of(texts, wanted, n, number), similarity, hubs)), "simhash-links")
+        release(docs.sparkSession)
         return wanted.select("id").union(left).distinct(), bool(left.head(1))
 
     def labelled() -> DataFrame:
