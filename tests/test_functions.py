@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -86,3 +88,9 @@ def test_cluster_count():
     assert cluster_count(10_000, 200) == 50
     assert cluster_count(100, 160) == 160
     assert cluster_count(1, 1) == 1
+
+
+def test_metadata_keys_may_hold_quotes(spark):
+    keys = {"it's": "x", 'say "a"': "y", "a']['b": "z", "$.c": "w", "n": 1}
+    df = spark.createDataFrame([(json.dumps(keys),), ("[1]",), ("no json",), (None,)], "j string")
+    assert [r[0] for r in df.select(string_metadata("j")).collect()] == [{k: v for k, v in keys.items() if v != 1}, {}, {}, {}]

@@ -31,10 +31,9 @@ def metadata_json(metadata: Column | str) -> Column:
 
 def string_metadata(json: Column | str) -> Column:
     """map<string,string> of a JSON object's string members; other members, and what is no object, are left out."""
-    members = F.try_parse_json(json)
-    typed = F.from_json(json, "map<string,string>")
-    is_text = lambda k: F.schema_of_variant(F.try_variant_get(members, F.concat(F.lit("$['"), k, F.lit("']")), "variant")) == "STRING"
-    return F.coalesce(F.map_filter(typed, lambda k, v: is_text(k)), F.create_map().cast("map<string,string>"))
+    members = F.from_json(json, "map<string,variant>")
+    texts = F.map_filter(members, lambda k, v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform_values(texts, lambda k, v: F.variant_get(v, "$", "string")), F.create_map().cast("map<string,string>"))
 
 
 def terms(text: Column | str) -> Column:
