@@ -60,9 +60,11 @@ class SnapshotStore:
         stream.write(bytearray(text.encode()))
         stream.close()
         current = self._path(f"{self.path}/manifest.json")
-        if not self._fs.rename(part, current):  # some file systems do not rename over a file
-            self._fs.delete(current, False)
-            self._fs.rename(part, current)
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        # Over the old manifest in one step: there is always one to read.
+        renames = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        renames[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(self._fs.makeQualified(part), self._fs.makeQualified(current), renames)
         return old["version"] + 1
 
     def clear(self) -> None:
