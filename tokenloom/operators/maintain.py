@@ -23,13 +23,18 @@ def delete(docs: DataFrame, uuids: DataFrame) -> DataFrame:
 def insert_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """chunks (id, hash, model, token_count) with new ones (hash, model, token_count) whose (hash, model) is not there yet.
 
-    New ids continue from the largest, in the order of the hashes. The order is a
-    global one, so the window runs on the hashes alone, after deduplication.
+    New ids continue from the largest, in the order of the hashes. The new ones
+    are sorted by ranges; each range's place is its rank within the range and the
+    number of those before, one row a range, so no task numbers all of them.
     """
     fresh = new.groupBy("hash", "model").agg(F.max("token_count").alias("token_count")).join(chunks.select("hash", "model"), ["hash", "model"], "left_anti")
     first = chunks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    placed = fresh.withColumn("place", F.row_number().over(W.orderBy("hash", "model"))).crossJoin(F.broadcast(first))
-    return chunks.unionByName(placed.select((F.col("last") + F.col("place")).alias("id"), "hash", "model", "token_count"))
+    # A range is the first four digits of the hash: 65,536 at most, whatever the number of chunks.
+    ranged = fresh.withColumn("range_", F.substring("hash", 1, 4)).withColumn("place", F.row_number().over(W.partitionBy("range_").orderBy("hash", "model")))
+    sizes = fresh.groupBy(F.substring("hash", 1, 4).alias("range_")).agg(F.count("*").alias("n"))
+    before = sizes.select("range_", (F.sum("n").over(W.orderBy("range_")) - F.col("n")).alias("before"))
+    placed = ranged.join(before, "range_").crossJoin(F.broadcast(first))
+    return chunks.unionByName(placed.select((F.col("last") + F.col("before") + F.col("place")).alias("id"), "hash", "model", "token_count"))
 
 
 def dedup_plan(new: DataFrame, chunks: DataFrame, refs: DataFrame, pending: DataFrame) -> DataFrame:

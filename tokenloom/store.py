@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .functions.text import content_hash, embedding_text
 from .functions.vectors import add, cluster_count, decode_levels, encode_levels, subtract
@@ -63,13 +64,15 @@ class Store:
     # -- documents
 
     def add(self, docs: DataFrame) -> int:
-        """docs (uuid, body; optionally title, date, metadata). Texts that are known are not embedded again; the version after it."""
+        """docs (uuid, body; optionally title, date, metadata). Of rows that repeat a uuid the latest by date counts, then that with the greatest text. The version after it."""
         self._open()
         given = {c: F.col(c) if c in docs.columns else F.lit(None) for c in ("title", "date", "metadata")}
         full = docs.select(
             "uuid", given["date"].cast("timestamp").alias("date"), F.coalesce(given["metadata"].cast("map<string,string>"), F.create_map().cast("map<string,string>")).alias("metadata"),
             "body", given["title"].cast("string").alias("title"),
-        ).dropDuplicates(["uuid"])
+        )
+        last = W.partitionBy("uuid").orderBy(F.desc_nulls_last("date"), F.desc("body"), F.desc_nulls_last("title"), F.desc(F.to_json("metadata")))
+        full = full.withColumn("place_", F.row_number().over(last)).where("place_ = 1").drop("place_")
         full = full.withColumn("text", embedding_text(F.col("title"), F.col("body"))).withColumn("hash", content_hash("text"))
         with self.lock:
             chunks, pending = self.tables.read("chunks"), self.tables.read("pending")
