@@ -113,7 +113,7 @@ def test_exchange_grows_with_the_corpus():
         tokens = text_bytes // 6
         batch, part = lm.exchange_shape(text_bytes, tokens)
         assert math.ceil(text_bytes / batch) * math.ceil(tokens / part) <= 1.1 * tokens / 64
-        assert batch <= max(6 << 20, 20 * math.sqrt(text_bytes))
+        assert batch <= max(10 << 20, 20 * math.sqrt(text_bytes))
 
 
 def test_odd_documents(odd, none):

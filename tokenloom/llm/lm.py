@@ -52,7 +52,7 @@ from .common import materialise, release
 #: Roles of documents: counted, kept back to learn the weights, not learned from.
 COUNTED, KEPT_BACK, OTHER = 0, 1, 2
 BUCKETS = 24
-_BATCH_BYTES = 6 << 20
+_BATCH_BYTES = 10 << 20
 _PART_KEYS = 1_500_000
 _ROW_KEYS = 64  # of a row of the exchange, at least, in a large corpus
 _TASK_BYTES = 16 << 20
