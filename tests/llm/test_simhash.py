@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tokenloom.llm import simhash as module
+from tokenloom.llm.common import materialise, release
 from tokenloom.llm.q_simhash import op8_simhash
-from tokenloom.llm.simhash import _number, _verified, agreement, close_pairs, forest_shape, keep_one, near_duplicates, shingle_sets, simhash
+from tokenloom.llm.simhash import _number, _possible, _verified, agreement, close_pairs, differences, forest_shape, keep_one, near_duplicates, odd_sketch, shingle_sets, simhash
 
 
 def brute(rows):
@@ -123,6 +127,76 @@ def test_pairs_are_verified_by_their_sets(spark, places):
     assert got == {(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8} and got
 
 
+@pytest.mark.parametrize("n", [1, 14, 31, 32, 33, 500, 3000])
+def test_sketches_never_show_more_differences_than_there_are(n):
+    """Also between sketches of different lengths; at similarity 0.5 they show more than sets of 0.8 have."""
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+    for keep in (0, n // 2, n - n // 9, n):
+        for more in (0, n // 5, 3 * n):
+            b = np.unique(np.concatenate([a[:keep], rng.integers(0, 2**64, more, np.uint64)]))
+            off = len(np.setxor1d(a, b))
+            if len(b):
+                assert differences(odd_sketch(a), odd_sketch(b)) == differences(odd_sketch(b), odd_sketch(a)) <= off
+    if n >= 500:
+        b = np.concatenate([a[: 2 * n // 3], rng.integers(0, 2**64, n - 2 * n // 3, np.uint64)])
+        assert differences(odd_sketch(a), odd_sketch(b)) > 2 * n / 9
+
+
+@pytest.mark.parametrize("places", [None, 3])
+def test_sketches_drop_no_pair_that_is_near(spark, places):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 90, np.uint64)
+    sets = {0: base, **{i: np.concatenate([base[: 90 - i], rng.integers(0, 2**64, i, np.uint64)]) for i in range(1, 60)}}  # 10 differ: 80 of 100 in common
+    df = spark.createDataFrame([(i, (len(s), odd_sketch(s))) for i, s in sets.items()], "id long, set struct<size: int, odd: binary>")
+    hubs = places and spark.createDataFrame([(0, places)], "id long, places int")
+    got = {r.b for r in _possible(spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long"), df, 0.8, hubs).collect()}
+    assert got >= set(range(1, 11)) and max(got) < 25
+
+
+def test_sets_of_far_pairs_do_not_travel(spark, monkeypatch):
+    """Groups of texts with two thirds of their shingles in common share buckets, but none of their pairs is left when the sets are fetched."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(40):
+        base = [f"g{i}w{j}" for j in range(300)]
+        rows += [(10 * i + c, " ".join([*base, *(f"g{i}c{c}x{k}" for k in range(80))])) for c in range(6)]
+    rows += [(1000 + i, r + " end") for i, (_, r) in enumerate(rows[::20])]
+    order = rng.permutation(len(rows)).tolist()
+    pairs, verified = [], module._verified
+    monkeypatch.setattr(module, "_verified", lambda p, *rest: pairs.extend(p.collect()) or verified(p, *rest))
+    assert run(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")) == brute(rows)
+    assert 12 <= len(pairs) < 60
+
+
+@pytest.mark.parametrize("at_once", [1, 5])
+def test_forest_is_filed_a_few_trees_at_a_time(spark, monkeypatch, at_once):
+    filed, filer = [], module._filer
+    monkeypatch.setattr(module, "_AT_ONCE", at_once)
+    monkeypatch.setattr(module, "_filer", lambda depth, trees: filed.append(trees) or filer(depth, trees))
+    rows = corpus(30, 3)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    trees = forest_shape(len(rows), 0.8, 0.99)[1]
+    assert max(map(len, filed)) <= at_once and [t for some in filed for t in some][:trees] == [*range(trees)]
+
+
+def test_shuffle_files_of_the_last_step_are_let_go(spark):
+    def files() -> set[str]:
+        every = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (every.apply(i).getName() for i in range(every.length())) if n.endswith(".data")}
+
+    before = files()
+    materialise(spark.range(1000).withColumn("x", F.rand()).repartition("x").groupBy("id").count(), "test-shuffle")
+    new = files() - before
+    assert new
+    release(spark)
+    for _ in range(50):
+        if not new & files():
+            break
+        time.sleep(0.1)
+    assert not new & files()
+
+
 def test_classes_with_a_common_half_are_told_apart(spark):
     df = spark.createDataFrame([(5, 1), (5, 2), (6, 1)], "h1 long, h2 long")
     assert [r[0] for r in df.select(_number([])).collect()] == [5, 5, 6]

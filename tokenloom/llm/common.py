@@ -39,7 +39,11 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of finished steps: Spark deletes their shuffle files once the driver's handles of them are collected."""
+    """Let go of finished steps: Spark deletes their shuffle files once the driver's handles of them are collected.
+
+    Those of the step before are held until another job has run, so a small one runs here.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

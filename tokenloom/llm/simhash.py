@@ -28,11 +28,16 @@ hold several labels are split into blocks, and all pairs of blocks are compared
 separate tasks; which buckets are split is a table that the members are joined
 with. From a bucket each class is paired with the `near` first
 earlier ones within the Hamming bound; if any pair was left out so, a last round
-emits every remaining pair of different labels among the classes that had a
-partner, so that none is lost. Pairs are verified by the Jaccard similarity of
-the full sets, a class with very many pairs in several places, and verified pairs
-are joined into components. Classes are told apart by 128 bits of their sets;
-shingles are 64-bit hashes.
+emits every remaining pair of different labels among the classes of such pairs,
+so that none is lost. A few trees are worked through at a time, and their
+exchange is let go before the next ones come.
+
+Pairs are verified by the Jaccard similarity of the full sets, a class with very
+many pairs in several places, and verified pairs are joined into components. Before
+the sets travel, odd sketches of two to four bits a shingle do: they show no more
+differences of two sets than there are, so a pair with too many of them is dropped
+and no link is lost. Classes are told apart by 128 bits of their sets; shingles are
+64-bit hashes.
 
 Defined cases: a null id or a text without words (null and empty included) is
 linked with nothing; a row with a null id has a null component and is kept. Rows
@@ -50,7 +55,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -60,7 +65,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, release, with_size
+from .common import chunks, discard, materialise, release, with_size
 from .components import components
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -72,6 +77,7 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 _LEAST_SLOTS, _MOST_SLOTS = 23, 28  # bits of their number
 _STEP, _DEEPEST = 8, 48  # bits by which a dense bucket descends, and down to which depth
 _HUB = 1000  # pairs of a class that one task verifies
+_AT_ONCE = 8  # trees whose exchange is on disk at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,6 +128,22 @@ def class_key(hashes: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(hashes.tobytes()))
 
 
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Bit k is set if an odd number of hashes are k modulo the number of bits, a power of two: 64, or twice the hashes or more."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def differences(x: bytes, y: bytes) -> int:
+    """Hashes that only one of two sets has, by their sketches: as many as there are, or fewer."""
+    x, y = sorted((x, y), key=len)
+    wide = int.from_bytes(y)
+    for size in range(len(y).bit_length() - 1, len(x).bit_length() - 1, -1):  # a sketch of half the bits is the exclusive or of the halves
+        half = 1 << size + 2
+        wide = (wide >> half) ^ (wide & ((1 << half) - 1))
+    return (wide ^ int.from_bytes(x)).bit_count()
+
+
 def agreement(similarity: float) -> float:
     """Least chance that two sets of this Jaccard similarity agree in a bit."""
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -190,13 +212,16 @@ def permuted_prefixes(sims: np.ndarray, tree: int, depth: int) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        keys, sims, few = [], [], []
+        keys, sims, few, sizes, odd = [], [], [], [], []
         for a, b in chunks([len(t) for t in texts], 4 << 20):
             for hashes in shingle_sets(texts[a:b]):
                 keys.append(class_key(hashes) if len(hashes) else (None, None))
                 sims.append(simhash(hashes).tobytes() if len(hashes) else None)
                 few.append(hashes.tobytes() if 0 < len(hashes) <= _SHORT else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(sims, pa.binary()), pa.array(few, pa.binary())], ["doc", "h1", "h2", "sim", "few"])
+                sizes.append(len(hashes))
+                odd.append(odd_sketch(hashes) if len(hashes) else None)
+        columns = *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(sims, pa.binary()), pa.array(few, pa.binary()), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "h1", "h2", "sim", "few", "size", "odd"])
 
 
 def subset_keys(sets: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, int]]:
@@ -255,7 +280,7 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, [*np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)).tolist(), len(keys)]
 
 
-def _filer(depth: int, trees: int):
+def _filer(depth: int, trees: range):
     """Files (id, label, sim) under tree and prefix: rows (bucket, data), data packing the members of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +293,7 @@ def _filer(depth: int, trees: int):
             own["sim"] = np.frombuffer(raw, "V32")
             sims = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
             buckets, data = [], []
-            for tree in range(trees):
+            for tree in trees:
                 bucket = permuted_prefixes(sims, tree, depth) + (tree << depth)
                 order, starts = _groups(bucket)
                 for a, b in zip(starts, starts[1:]):
@@ -355,15 +380,30 @@ def _matcher(bound: int, near: int | None):
 
 def _candidates(members: DataFrame, depth: int, trees: int, bound: int, near: int | None, dense: DataFrame | None, parents: DataFrame | None, step: int) -> DataFrame:
     """Candidate pairs of members (id, label, sim) under one depth. dense: buckets to be split (bucket, blocks); parents: buckets `step` bits up, whose members alone take part."""
-    filed = members.select("id", "label", "sim").mapInArrow(_filer(depth, trees), "bucket long, data binary")
-    if parents is not None:
-        filed = filed.join(with_size(parents.select(F.col("bucket").alias("parent"))), F.shiftright("bucket", step) == F.col("parent"), "left_semi")
-    if dense is None:
-        placed = filed.select("bucket", F.lit(0).cast("long").alias("pair"), "data")
-    else:
-        placed = filed.join(with_size(dense), "bucket", "left").select("bucket", "data", "blocks").mapInArrow(_split, "bucket long, pair long, data binary")
-    sorted_ = placed.repartition(F.xxhash64("bucket", "pair")).sortWithinPartitions("bucket", "pair")
-    return materialise(sorted_.mapInArrow(_matcher(bound, near), "a long, b long").distinct(), "simhash-pairs")
+    parents = None if parents is None else with_size(parents.select(F.col("bucket").alias("parent")))
+    dense = None if dense is None else with_size(dense)
+
+    def of(some: range) -> DataFrame:
+        filed = members.select("id", "label", "sim").mapInArrow(_filer(depth, some), "bucket long, data binary")
+        if parents is not None:
+            filed = filed.join(parents, F.shiftright("bucket", step) == F.col("parent"), "left_semi")
+        if dense is None:
+            placed = filed.select("bucket", F.lit(0).cast("long").alias("pair"), "data")
+        else:
+            placed = filed.join(dense, "bucket", "left").select("bucket", "data", "blocks").mapInArrow(_split, "bucket long, pair long, data binary")
+        sorted_ = placed.repartition(F.xxhash64("bucket", "pair")).sortWithinPartitions("bucket", "pair")
+        return materialise(sorted_.mapInArrow(_matcher(bound, near), "a long, b long").distinct(), "simhash-pairs")
+
+    found = []
+    for first in range(0, trees, _AT_ONCE):
+        found.append(of(range(first, min(trees, first + _AT_ONCE))))
+        release(members.sparkSession)
+    if len(found) == 1:
+        return found[0]
+    every = materialise(reduce(DataFrame.union, found).distinct(), "simhash-pairs")
+    for f in found:
+        discard(f)
+    return every
 
 
 def _dense(members: DataFrame, depth: int, trees: int, block: int, parents: DataFrame | None, step: int) -> DataFrame | None:
@@ -437,6 +477,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, number: Column) -> Data
     return found.select(number.alias("id"), "set").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
+def _sketches_of(signed: DataFrame, wanted: DataFrame, n: int, number: Column) -> DataFrame:
+    """(id, set) of the n wanted classes, as _sets_of has them, but set is a sketch: a struct of size and odd."""
+    shared, slots = _marks(wanted.select("doc"), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(_marked(shared.value, batch)))
+            yield pa.RecordBatch.from_arrays(part.columns[:-2], part.schema.names[:-2])
+
+    found = signed.where("doc is not null and h1 is not null").select("h1", "h2", "size", "odd", *_slot("doc", slots)).mapInArrow(run, "h1 long, h2 long, size int, odd binary")
+    return found.select(number.alias("id"), F.struct("size", "odd").alias("set")).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+
 def _without(docs: DataFrame, doc_id: str, drop: DataFrame) -> DataFrame:
     """docs without the ids of drop. Rows whose slot is not marked stay where they are; only the others are joined."""
     shared, slots = _marks(drop, drop.count())
@@ -466,6 +519,22 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, hubs: DataFrame | No
     return many.join(spread, [end, "place"]).drop("place")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float, hubs: DataFrame | None) -> DataFrame:
+    """Pairs without those that are less similar than this by their sketches already."""
+    most = (1 - similarity) / (1 + similarity)  # of the sizes' sum, that sets of this similarity differ in
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(k).to_pylist() for k in (2, 4))
+            odd = (batch.column(k).to_pylist() for k in (3, 5))
+            ok = [abs(m - n) <= (d := most * (m + n) + 1e-6) and differences(x, y) <= d for m, n, x, y in zip(*sizes, *odd)]
+            part = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(part.columns[:2], part.schema.names[:2])
+
+    both = _with_sets(_with_sets(pairs, sketches, "a", hubs), sketches, "b", hubs)
+    return both.select("a", "b", "set_a.size", "set_a.odd", "set_b.size", "set_b.odd").toDF("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, hubs: DataFrame | None) -> DataFrame:
     """Pairs of which the sets have at least this Jaccard similarity."""
     both = _with_sets(_with_sets(pairs, sets, "a", hubs), sets, "b", hubs)
@@ -480,7 +549,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         raise ValueError("the forest is laid out for similarities of 0.8 or more")
     kind = docs.schema[doc_id].dataType
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = materialise(own.mapInArrow(_signatures, "doc long, h1 long, h2 long, sim binary, few binary"), "simhash-signatures")
+    signed = materialise(own.mapInArrow(_signatures, "doc long, h1 long, h2 long, sim binary, few binary, size int, odd binary"), "simhash-signatures")
     classes = signed.where("doc is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("sim").alias("sim"), F.first("few").alias("few"))
     classes = materialise(classes, "simhash-classes")
     # Among n classes some n * n / 2**65 share their first 64 bits: a few at 10**10.
@@ -494,19 +563,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # Links found so far: those of the last round, and each class with its component before that.
     links = materialise(_short_links(classes, similarity), "simhash-links")
 
-    def compare(members: DataFrame, depth: int, near: int | None, dense: DataFrame | None, parents: DataFrame | None = None) -> tuple[DataFrame, bool]:
-        """Pair members (id, label, sim) under one depth and keep the verified links. The ids that had a partner, left out or not; whether pairs were left out."""
+    def ends(pairs: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+        """The classes of some pairs (id, doc, pairs), their number, and in how many places those with very many pairs are compared."""
+        each = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
+        wanted = materialise(classes.join(each, "id").select("id", "doc", "pairs"), "simhash-wanted")
+        n, most = wanted.agg(F.count("*"), F.max("pairs")).first()
+        return wanted, n, wanted.where(F.col("pairs") > _HUB).select("id", F.ceil(F.col("pairs") / _HUB).cast("int").alias("places")) if (most or 0) > _HUB else None
+
+    def compare(members: DataFrame, depth: int, near: int | None, dense: DataFrame | None, parents: DataFrame | None = None) -> DataFrame:
+        """Pair members (id, label, sim) under one depth and keep the verified links. The ids of pairs that were left out."""
         nonlocal links
         found = _candidates(members, depth, trees, bound, near, dense, parents, _STEP)
+        pairs = found.where("b is not null")
+        wanted, n, hubs = ends(pairs)
+        pairs = materialise(_possible(pairs, _sketches_of(signed, wanted, n, number), similarity, hubs), "simhash-possible")
         release(docs.sparkSession)
-        pairs, left = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("id"))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
-        wanted = materialise(classes.join(ends, "id").select("id", "doc", "pairs"), "simhash-wanted")
-        n, most = wanted.agg(F.count("*"), F.max("pairs")).first()
-        hubs = wanted.where(F.col("pairs") > _HUB).select("id", F.ceil(F.col("pairs") / _HUB).cast("int").alias("places")) if (most or 0) > _HUB else None
+        wanted, n, hubs = ends(pairs)
         links = materialise(links.union(_verified(pairs, _sets_of(texts, wanted, n, number), similarity, hubs)), "simhash-links")
         release(docs.sparkSession)
-        return wanted.select("id").union(left).distinct(), bool(left.head(1))
+        return found.where("b is null").select(F.col("a").alias("id")).distinct()
 
     def labelled() -> DataFrame:
         nonlocal links
@@ -523,9 +598,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         dense = levels[k] if k == len(levels) - 1 else _dense(members, deeper, trees, block, levels[k - 1], _STEP)
         compare(members, deeper, near, dense, levels[k - 1])
         members = labelled()
-    ids, more = compare(members, depth, near, levels[0] if len(levels) == 1 else _dense(members, depth, trees, block, None, _STEP))
-    if more:
-        members = materialise(labelled().join(ids, "id", "left_semi"), "simhash-partnered")
+    left = compare(members, depth, near, levels[0] if len(levels) == 1 else _dense(members, depth, trees, block, None, _STEP))
+    if left.head(1):  # both classes of a pair that was left out are named
+        members = materialise(labelled().join(left, "id", "left_semi"), "simhash-left")
         compare(members, depth, None, _dense(members, depth, trees, block, None, _STEP))
     of = materialise(components(links), "simhash-components")
     grouped = classes.select("id", "doc").join(of, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("group"))
