@@ -173,6 +173,7 @@ def test_sets_of_far_pairs_do_not_travel(spark, monkeypatch):
 def test_forest_is_filed_a_few_trees_at_a_time(spark, monkeypatch, at_once):
     filed, filer = [], module._filer
     monkeypatch.setattr(module, "_AT_ONCE", at_once)
+    monkeypatch.setattr(module, "_FEW", 0)
     monkeypatch.setattr(module, "_filer", lambda depth, trees: filed.append(trees) or filer(depth, trees))
     rows = corpus(30, 3)
     assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

@@ -60,6 +60,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -77,7 +78,7 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 _LEAST_SLOTS, _MOST_SLOTS = 23, 28  # bits of their number
 _STEP, _DEEPEST = 8, 48  # bits by which a dense bucket descends, and down to which depth
 _HUB = 1000  # pairs of a class that one task verifies
-_AT_ONCE = 8  # trees whose exchange is on disk at a time
+_AT_ONCE, _FEW = 8, 2_000_000  # trees whose exchange is on disk at a time, or as many as file so many members
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -211,10 +212,10 @@ def permuted_prefixes(sims: np.ndarray, tree: int, depth: int) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        texts = batch.column(1).cast(pa.binary())
         keys, sims, few, sizes, odd = [], [], [], [], []
-        for a, b in chunks([len(t) for t in texts], 4 << 20):
-            for hashes in shingle_sets(texts[a:b]):
+        for a, b in chunks(pc.binary_length(texts).fill_null(0).to_pylist(), 4 << 20):
+            for hashes in shingle_sets([t or b"" for t in texts[a:b].to_pylist()]):
                 keys.append(class_key(hashes) if len(hashes) else (None, None))
                 sims.append(simhash(hashes).tobytes() if len(hashes) else None)
                 few.append(hashes.tobytes() if 0 < len(hashes) <= _SHORT else None)
@@ -394,9 +395,9 @@ def _candidates(members: DataFrame, depth: int, trees: int, bound: int, near: in
         sorted_ = placed.repartition(F.xxhash64("bucket", "pair")).sortWithinPartitions("bucket", "pair")
         return materialise(sorted_.mapInArrow(_matcher(bound, near), "a long, b long").distinct(), "simhash-pairs")
 
-    found = []
-    for first in range(0, trees, _AT_ONCE):
-        found.append(of(range(first, min(trees, first + _AT_ONCE))))
+    found, some = [], max(_AT_ONCE, _FEW // max(1, members.count()))
+    for first in range(0, trees, some):
+        found.append(of(range(first, min(trees, first + some))))
         release(members.sparkSession)
     if len(found) == 1:
         return found[0]
@@ -467,9 +468,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, number: Column) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).filter(pa.array(_marked(shared.value, batch))).cast(pa.binary()).to_pylist()
-            for a, b in chunks([len(t) for t in texts], 4 << 20):
-                sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
+            texts = batch.column(0).filter(pa.array(_marked(shared.value, batch))).cast(pa.binary())
+            for a, b in chunks(pc.binary_length(texts).to_pylist(), 4 << 20):
+                sets = [s for s in shingle_sets(texts[a:b].to_pylist()) if len(s)]
                 keys = [class_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["h1", "h2", "set"])
 
